@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refrain.llm.common import chunks, doc_columns
@@ -240,6 +240,25 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
     return grouped.mapInArrow(merge, RESULT)
 
 
+def _hit_column(vocabulary: dict[bytes, int], items: list[tuple[int | None, np.ndarray]], window: int) -> Column:
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
+        out: list[bool] = []
+        for batch in chunks([pa.RecordBatch.from_arrays([texts.cast(pa.string())], names=["text"])]):
+            spans, _ = _hits(Block(batch.column(0).cast(pa.binary()).to_pylist(), vocabulary), items, window)
+            out += [k in spans for k in range(batch.num_rows)]
+        return pa.array(out, pa.bool_())
+
+    return hit(F.col("text").cast("string"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of any item; one pass, without a shuffle, per block of items."""
+    for block_items in _items(benchmark, block_bytes):
+        docs = docs.where(~_hit_column(*_coded(block_items), window))
+    return docs
+
+
 def near_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 6, slop: int = 12, block_bytes: int = 8 << 20) -> DataFrame:
     """Proximity matches: (doc_id, item_id, begin, end) in words, where an item's rarest terms lie close together.
 
