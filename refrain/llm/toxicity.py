@@ -2,7 +2,8 @@
 
 A logistic model over the presence of words. It is fitted to labelled rows whose crc32 of the id modulo 5 is not
 0, at most ``per_class`` of each label (chosen by hash of the id; the only sample, weighted back to the label
-counts), by proximal gradient steps with an L1 term. For every labelled text that names an identity group, copies
+counts), by proximal gradient steps with an L1 term
+that chooses features, and again without it on those chosen. For every labelled text that names an identity group, copies
 are made in which the term is swapped for the others of its group, and the squared change of the score's log-odds
 is penalised; so neutral mentions of any group move the score alike, and by little.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,14 +87,14 @@ def _swaps(present: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
                 yield from ((a, b) for b in terms if b != a)
 
 
-def fit(texts: list[set[bytes]], labels: np.ndarray, weight: np.ndarray, vocabulary: int = 1024, min_docs: int = 4, l1: float = 2e-4, counterfactual: float = 1.0, steps: int = 400) -> Model:
+def fit(texts: list[set[bytes]], labels: np.ndarray, weight: np.ndarray, vocabulary: int = 1024, min_docs: int = 4, l1: float = 5e-4, l2: float = 3e-4, counterfactual: float = 1.0, steps: int = 200) -> Model:
     """Fit to sets of words; ``weight`` is the number of rows that each example stands for."""
     rate = float(np.average(labels, weights=weight)) if len(labels) else 0.0
     if not 0 < rate < 1:
         return Model({}, 30.0 if rate == 1 else -30.0)
-    seen = [Counter(), Counter()]
+    seen, memo = [Counter(), Counter()], {w: traits(w) for w in set().union(*texts)}
     for t, y in zip(texts, labels):
-        seen[int(y)].update({f for w in t for f in traits(w)})
+        seen[int(y)].update(set(chain.from_iterable(map(memo.__getitem__, t))))
     n = [max(1, int((labels == y).sum())) for y in (0, 1)]
     odds = {w: (np.log((seen[1][w] + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1))) * np.sqrt(seen[0][w] / n[0] + seen[1][w] / n[1]) for w in seen[0].keys() | seen[1].keys() if seen[0][w] + seen[1][w] >= min_docs}
     chosen = sorted(odds, key=lambda w: (-abs(odds[w]), w))[:vocabulary]
@@ -101,34 +103,41 @@ def fit(texts: list[set[bytes]], labels: np.ndarray, weight: np.ndarray, vocabul
     x = np.zeros((len(texts), len(column)), np.float32)
     pairs: list[tuple[int, int, int]] = []
     for k, t in enumerate(texts):
-        x[k, [column[f] for w in t for f in traits(w) if f in column]] = 1
+        x[k, [column[f] for f in chain.from_iterable(map(memo.__getitem__, t)) if f in column]] = 1
         pairs += [(k, column[a], column[b]) for a, b in _swaps(t & named)]
     y, sw = labels.astype(np.float32), (weight / weight.sum()).astype(np.float32)
     i, a, b = (np.array(c, np.int64) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
-    w, bias = np.zeros(len(column), np.float32), float(np.log(rate / (1 - rate)))
-    v, vb, t = w.copy(), bias, 1.0
     pw = sw[i] / np.bincount(i, minlength=len(x))[i] if len(i) else np.zeros(0, np.float32)
-    lacks = 1 - x[i, b]
-    rate_step = 1.0 / (0.25 * float((x * x).sum(1) @ sw + 1) + 4 * counterfactual * float(pw.sum()))
-
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-    for _ in range(steps):
-        z = x @ v + vb
-        p = sigmoid(z)
-        g = (p - y) * sw
-        grad, gb = x.T @ g, float(g.sum())
-        if len(i):
-            d = 2 * counterfactual * (v[a] - v[b] * lacks) * pw  # of the squared change of the log-odds
-            np.add.at(grad, a, d)
-            np.subtract.at(grad, b, d * lacks)
-        new = v - rate_step * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - rate_step * l1, 0)
-        nb = vb - rate_step * gb
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, vb = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - bias)
-        w, bias, t = new, nb, nt
+    start = float(np.log(rate / (1 - rate)))
+
+    def descend(x: np.ndarray, a: np.ndarray, b: np.ndarray, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+        """Accelerated proximal gradient steps; the swaps (a -> b) penalise the squared change of the log-odds."""
+        w, bias = np.zeros(x.shape[1], np.float32), start
+        v, vb, t, lacks = w.copy(), bias, 1.0, 1 - x[i, b]
+        size = 1.0 / (0.25 * float((x * x).sum(1) @ sw + 1) + 4 * counterfactual * float(pw.sum()) + l2)
+        for _ in range(steps):
+            g = (1 / (1 + np.exp(-np.clip(x @ v + vb, -30, 30))) - y) * sw
+            grad = x.T @ g + l2 * v
+            if len(i):
+                d = 2 * counterfactual * (v[a] - v[b] * lacks) * pw
+                np.add.at(grad, a, d)
+                np.subtract.at(grad, b, d * lacks)
+            new = v - size * grad
+            new = np.sign(new) * np.maximum(np.abs(new) - size * l1, 0)
+            nb = vb - size * float(g.sum())
+            nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            v, vb = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - bias)
+            w, bias, t = new, nb, nt
+        return w, bias
+
+    first, bias = descend(x, a, b, l1, 0.0, steps)
+    # The L1 term chooses the features and shrinks them; they are fitted again without it. Identity terms take part in swaps.
+    used = np.flatnonzero((first != 0) | np.isin(np.arange(len(first)), np.concatenate([a, b])))
+    place = np.zeros(len(first), np.int64)
+    place[used] = np.arange(len(used))
+    again, bias = descend(np.ascontiguousarray(x[:, used]), place[a], place[b], 0.0, l2, 2 * steps)
+    w = np.zeros(len(first), np.float32)
+    w[used] = again
     return Model({word: float(w[k]) for word, k in column.items() if w[k] != 0}, float(bias))
 
 
