@@ -1,10 +1,392 @@
-"""Registered queries over the text-reuse operators, with DuckDB SQL where SQL can express them."""
+"""Registered queries over the text-reuse operators, with DuckDB SQL where SQL can express them.
+
+``doc_id`` stands for ``uid`` and grams are kept as strings, as SQL elsewhere lacks the hash. Where an operator
+takes passages, SQL needs some that it can make itself: ``extents`` then are, per pair of documents with enough
+matches, the least and greatest matching offsets on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from refrain.config import ReuseConfig
+from refrain.functions import text as tx
+from refrain.operators import chain, clusters, extents, graph, index, lines, locations, pairs
+from refrain.plans.reuse import Reuse
+from refrain.sources import corpus as source
+
+CFG = ReuseConfig(id="doc_id", hash_features=False, output_format="parquet")
+N = CFG.n
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").na.drop(subset=["doc_id", "text"]).select(F.col("doc_id").alias("uid"), *fields, "text")
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """Enough partitions for the cores, though the table may be a single file."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def _posts(spark: SparkSession, sf_dir: str, *fields: str, floating: bool = False) -> DataFrame:
+    return index.postings(_spread(_docs(spark, sf_dir, *fields)), replace(CFG, floating_ngrams=floating))
+
+
+def _index(spark: SparkSession, sf_dir: str, *fields: str, shards: int = 1) -> DataFrame:
+    return index.index(_posts(spark, sf_dir, *fields), replace(CFG, shards=shards))
+
+
+def _matches(spark: SparkSession, sf_dir: str, *fields: str, where: str = "uid < uid2") -> DataFrame:
+    return pairs.matches(_index(spark, sf_dir, *fields), replace(CFG, filterpairs=where))
+
+
+def _counted(rows: DataFrame, least: int = CFG.min_match) -> DataFrame:
+    return rows.groupBy("uid", "uid2").agg(F.count(F.lit(1)).alias("matches")).where(F.col("matches") >= least)
+
+
+def _extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _matches(spark, sf_dir, "source")
+    low = [F.min("post").alias("begin"), (F.max("post") + N).cast("int").alias("end"), F.min("post2").alias("begin2"), (F.max("post2") + N).cast("int").alias("end2")]
+    found = rows.groupBy("uid", "uid2", F.col("source").alias("gid"), F.col("source2").alias("gid2")).agg(F.count(F.lit(1)).alias("matches"), *low)
+    return found.where(F.col("matches") >= CFG.min_match).drop("matches")
+
+
+# --- index and pairs -------------------------------------------------------------------------------------------
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posts(spark, sf_dir)
+
+
+def postings_floating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posts(spark, sf_dir, floating=True)
+
+
+def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.doc_freq(_posts(spark, sf_dir))
+
+
+def df_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.df_band(doc_freq(spark, sf_dir), CFG)
+
+
+def dfpost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).select("uid", "feat", "post", "df")
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, shards=4).groupBy("shard").agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("uid").alias("docs"))
+
+
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_matches(spark, sf_dir), 1)
+
+
+def pairs_min_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_matches(spark, sf_dir))
+
+
+def pairs_cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_matches(spark, sf_dir, "source", where="source <> source2 and uid <> uid2"))
+
+
+def pairs_len_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_matches(spark, sf_dir, "n_chars", where="n_chars < n_chars2 and abs(post - post2) <= 500"))
+
+
+def pairs_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_matches(spark, sf_dir, where="uid <= uid2"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.candidate_pairs(_matches(spark, sf_dir), [], CFG)
+
+
+def merged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs.merged_posts(_candidates(spark, sf_dir), CFG)
+    return rows.select("uid2", F.explode("sources").alias("s")).select("uid2", F.col("s.uid").alias("uid"), F.explode("s.post").alias("m")).select("uid2", "uid", "m.post2", "m.df", "m.post")
+
+
+def uniform_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.merged_posts(_candidates(spark, sf_dir), CFG).select("uid2", F.explode("prior").alias("uid", "weight"))
+
+
+# --- spans and links -------------------------------------------------------------------------------------------
+
+
+def span_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = F.struct("begin2", "end2", "uid", "begin", "end", F.array().cast("array<struct<pos2:int,pos:int>>").alias("anchors"))
+    rows = _extents(spark, sf_dir).groupBy("uid2").agg(F.array_sort(F.collect_list(span)).alias("src"))
+    return rows.select("uid2", F.explode(extents.span_edges(F.col("src"), CFG.gap)).alias("s")).select("uid2", "s.uid", "s.left2", "s.begin2", "s.end2", "s.right2", "s.left", "s.begin", "s.end", "s.right")
+
+
+def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.vertices(_extents(spark, sf_dir))
+
+
+def link_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.link_spans(*clusters.span_sets(_extents(spark, sf_dir)), CFG.src_overlap, CFG.dst_overlap)
+
+
+def passage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clusters.edges(_extents(spark, sf_dir), CFG)
+    return rows.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("src", "dst") for c in ("uid", "begin", "end")], "boiler")
+
+
+def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands of each document's spans, of which the sources are the passages of other documents."""
+    x = _extents(spark, sf_dir)
+    spans = x.select(F.lit(1).alias("cluster"), F.col("uid2").alias("uid"), F.col("begin2").alias("begin"), F.col("end2").alias("end"), (F.col("gid") == F.col("gid2")).alias("boiler"), F.struct("uid", "begin", "end").alias("src"))
+    return clusters.merge_spans(spans).select("cluster", "uid", "begin", "end", "boiler", F.size("src").alias("n_src"))
+
+
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pairs_min_match(spark, sf_dir)
+    return graph.connected_components(found.select(F.col("uid").alias("a"), F.col("uid2").alias("b")))
+
+
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and share of boilerplate where a document's language stands for its cluster."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("lang").alias("cluster"), F.col("doc_id").alias("uid"), (F.col("source") == "src0").alias("boiler"))
+    return clusters.sized(docs).select("cluster", "size", F.round("pboiler", 9).alias("pboiler")).distinct()
+
+
+# --- texts, lines, locations, pages ----------------------------------------------------------------------------
+
+
+def corpus_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.with_uid(_table(spark, sf_dir, "documents"), CFG).select("doc_id", F.length("text").alias("length"), "lang", "source")
+
+
+def field_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, "lang", "source")
+    return source.terms(docs, replace(CFG, fields=("upper(source) as gid", "length(text) as size"))).drop("text")
+
+
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("uid", F.inline(tx.text_lines(F.col("text"))))
+
+
+def count_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(_docs(spark, sf_dir)).select("uid", tx.matches(F.col("text"), F.reverse("text")).alias("matches"))
+
+
+def unpadded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("uid", tx.unpad("text").alias("text"))
+
+
+def passage_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("uid", tx.slice_text("text", F.lit(-20), F.lit(15)).alias("head"), tx.slice_text("text", F.lit(100), F.lit(180)).alias("core"))
+
+
+def target_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text aligned with itself behind ten places of padding."""
+    pad = F.lit("-" * 10)
+    plain = F.translate("text", "-", "")
+    alg = F.struct(F.concat(pad, plain).alias("s1"), F.concat(plain, pad).alias("s2"))
+    rows = _spread(_docs(spark, sf_dir)).select("uid", F.inline(lines.target_lines(F.lit(0), F.lit(5), alg)))
+    return rows.select("uid", "begin", "begin2", F.col("alg2").alias("line"), F.length("alg").alias("width"))
+
+
+_LOCS = "transform(sequence(0, cast(length(text) div 100 as int)), i -> struct(cast(i as string) as loc, i * 100 as start, 90 as length))"
+_REGIONS = "transform(sequence(0, cast(length(text) div 100 as int)), i -> struct(bigint(i * 100) as start, bigint(90) as length, struct(bigint(i % 7) as x, bigint(i div 7) as y, bigint(10 + i % 3) as w, bigint(5) as h, bigint(0) as b) as coords))"
+
+
+def loc_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("uid", F.explode(F.transform(locations.overlapping(F.expr(_LOCS), F.lit(150), F.lit(420)), lambda x: x["loc"])).alias("loc"))
+
+
+def loc_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("uid", F.explode(locations.slice_locs(F.lit(150), F.lit(420), F.expr(_LOCS))).alias("loc"))
+
+
+def line_locs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("uid", F.explode(lines.line_locs(F.lit(190), F.substring("text", 1, 60), F.expr(_LOCS))).alias("loc"))
+
+
+def _box(page: Column) -> list[Column]:
+    r = page["regions"][0]
+    return [page["seq"].alias("seq"), r["start"].alias("start"), r["length"].alias("length"), *[r["coords"][k].alias(k) for k in "xywh"]]
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = "array(struct(1L as seq, slice(r, 1, 3) as regions), struct(2L as seq, slice(r, 4, 1000000) as regions))"
+    return _docs(spark, sf_dir).withColumn("r", F.expr(_REGIONS)).select("uid", F.length("text").alias("size"), F.expr(page).alias("pages"))
+
+
+def region_overlap_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the regions that the first thousand characters from 150 on overlap."""
+    p = locations.clip_pages(F.col("pages"), ["seq"], F.lit(150), F.lit(1150))
+    return _paged(spark, sf_dir).select("uid", F.explode(p).alias("p")).select("uid", *_box(F.col("p")))
+
+
+def region_contained_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _paged(spark, sf_dir)
+    rows = locations.pass_regions(corpus.select("uid"), corpus, "pages", "page", "uid", F.lit(150), F.lit(1150))
+    return rows.where("page is not null").select("uid", *_box(F.col("page")[0]))
+
+
+def format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers through JSON, CSV, ORC and back, with the converter's options."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    base, out = graph.shared_folder(spark), None
+    for k, kind in enumerate(("json", "csv", "parquet", "orc")):
+        path = f"{base}/{k}.{kind}"
+        _, options = source.guess_format(path, kind)
+        rows.write.options(**options).format(kind).save(path)
+        back = spark.read.options(**{o: v for o, v in options.items() if o != "compression"}).schema(rows.schema).format(kind).load(path)
+        out = back if out is None else out.unionByName(back)
+    return out.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
+# --- whole runs, which SQL can't express -----------------------------------------------------------------------
+
+
+def _run(spark: SparkSession, sf_dir: str, **options) -> Reuse:  # noqa: ANN003
+    cfg = replace(CFG, hash_features=True, **options)
+    docs = _spread(_table(spark, sf_dir, "documents"))
+    return Reuse(source.with_uid(docs, cfg), cfg, graph.shared_folder(spark), sf_dir)
+
+
+def viterbi_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).chained().select("uid2", F.inline("src"))
+
+
+def run_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).extents()
+
+
+def run_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).pairwise()
+
+
+def run_docwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).docwise()
+
+
+def run_linewise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).linewise()
+
+
+def run_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).output()
+
+
+def run_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, all_pairs=True, fields=("xxhash64(source) as gid",), filterpairs="gid < gid2").output()
+
+
+def run_link_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, fields=("n_chars",), link_model="size", link_features="log(n_chars + 1) AS size").modelled()
+
+
+_GROUPS = (postings, postings_floating, doc_freq, df_band, dfpost, shard_counts, candidate_pairs, pairs_min_match, pairs_cross_source, pairs_len_filter, pairs_self, merged_posts, uniform_prior, span_edges, vertices, link_spans, passage_edges, merge_spans, connected_components, cluster_sizes, corpus_clean, field_projection, text_lines, count_matches, unpadded, passage_slice, target_lines, loc_overlap, loc_slice, line_locs, region_overlap_boxes, region_contained_boxes, format_round_trip, viterbi_spans, run_extents, run_pairwise, run_docwise, run_linewise, run_clusters, run_all_pairs, run_link_model)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _GROUPS}
+
+# --- the same in SQL -------------------------------------------------------------------------------------------
+
+_WORDS = r"""
+docs AS (SELECT doc_id AS uid, text, source, n_chars FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+split AS (SELECT uid, regexp_extract_all(text, '\P{L}*\p{L}+') AS cs FROM docs),
+each_word AS (SELECT uid, unnest(cs) AS c, generate_subscripts(cs, 1) AS k FROM split),
+sizes AS (SELECT uid, k, length(c) AS lc, length(regexp_extract(c, '\p{L}+')) AS lw FROM each_word),
+placed AS (SELECT uid, lw, sum(lc) OVER w - lw AS post, sum(lw) OVER w - lw AS lat FROM sizes WINDOW w AS (PARTITION BY uid ORDER BY k)),
+letters AS (SELECT uid, regexp_replace(text, '\P{L}+', '', 'g') AS s FROM docs)"""
+_SQL_POSTS = (
+    _WORDS
+    + f""",
+grams AS (SELECT uid, substring(s, CAST(lat AS BIGINT) + 1, {N}) AS g, CAST(post AS INT) AS post FROM placed JOIN letters USING (uid)),
+posts AS (SELECT uid, lower(g) AS feat, post FROM grams WHERE length(g) = {N} QUALIFY count(*) OVER (PARTITION BY uid, lower(g)) = 1),
+freq AS (SELECT feat, CAST(count(*) AS INT) AS df FROM posts GROUP BY feat),
+band AS (SELECT * FROM freq WHERE df BETWEEN {CFG.min_df} AND {CFG.max_df}),
+idx AS (SELECT uid, feat, post, df FROM posts JOIN band USING (feat))"""
+)
+
+
+def _sql_matches(where: str = "a.uid < b.uid") -> str:
+    return f"""{_SQL_POSTS},
+full_idx AS (SELECT idx.*, source, n_chars FROM idx JOIN docs USING (uid)),
+matches AS (SELECT a.uid, b.uid AS uid2, a.post, b.post AS post2, a.df, a.source AS gid, b.source AS gid2 FROM full_idx a JOIN full_idx b ON a.feat = b.feat AND {where})"""
+
+
+def _sql_pairs(where: str = "a.uid < b.uid", least: int = CFG.min_match) -> str:
+    return f"WITH {_sql_matches(where)} SELECT uid, uid2, count(*) AS matches FROM matches GROUP BY uid, uid2 HAVING count(*) >= {least}"
+
 
-from pyspark.sql import DataFrame, SparkSession
+_SQL_EXTENTS = f"""{_sql_matches()},
+ext AS (SELECT uid, uid2, gid, gid2, min(post) AS b, max(post) + {N} AS e, min(post2) AS b2, max(post2) + {N} AS e2 FROM matches GROUP BY ALL HAVING count(*) >= {CFG.min_match}),
+s1 AS (SELECT DISTINCT uid, b, e FROM ext),
+s2 AS (SELECT DISTINCT uid2 AS uid, b2, e2 FROM ext)"""
+_SQL_LINKS = f"""{_SQL_EXTENTS},
+covered AS (SELECT s1.uid, b, e, b2, e2, least(e, e2) - greatest(b, b2) AS ov FROM s1 JOIN s2 ON s1.uid = s2.uid AND b < e2 AND b2 < e AND (least(e, e2) - greatest(b, b2)) / (e - b) >= {CFG.dst_overlap}),
+sourced AS (SELECT uid, b, e, b2, e2 FROM covered QUALIFY row_number() OVER (PARTITION BY uid, b, e ORDER BY ov DESC, b2, e2) = 1),
+alone AS (SELECT * FROM s1 WHERE NOT EXISTS (SELECT 1 FROM sourced s WHERE s.uid = s1.uid AND s.b = s1.b AND s.e = s1.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY e - b DESC, b, e) AS r FROM alone),
+nearest AS (SELECT d.uid, d.b, d.e, s.b AS b2, s.e AS e2 FROM ranked d JOIN ranked s ON s.uid = d.uid AND s.r < d.r AND s.b < d.e AND d.b < s.e AND (least(d.e, s.e) - greatest(d.b, s.b)) / (d.e - d.b) >= {CFG.src_overlap} QUALIFY row_number() OVER (PARTITION BY d.uid, d.b, d.e ORDER BY s.r DESC) = 1),
+links AS (SELECT * FROM sourced UNION ALL SELECT * FROM nearest)"""
+_SQL_LOCS = "spots AS (SELECT doc_id AS uid, text, unnest(range(0, length(text) // 100 + 1)) AS i FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"
+_SQL_BOX = "min(i * 100) AS start, max(i * 100 + 90) - min(i * 100) AS length, min(i % 7) AS x, min(i // 7) AS y, max(i % 7 + 10 + i % 3) - min(i % 7) AS w, max(i // 7 + 5) - min(i // 7) AS h"
+_LINE_RE = r"[^\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}])|[^\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]+"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "postings": f"WITH {_SQL_POSTS} SELECT uid, feat, post FROM posts",
+    "postings_floating": f"""WITH {_WORDS},
+grams AS (SELECT uid, substring(s, CAST(lat + j AS BIGINT) + 1, {N}) AS g, CAST(post + j AS INT) AS post FROM (SELECT uid, lat, post, unnest(range(lw)) AS j FROM placed) JOIN letters USING (uid))
+SELECT uid, lower(g) AS feat, post FROM grams WHERE length(g) = {N} QUALIFY count(*) OVER (PARTITION BY uid, lower(g)) = 1""",
+    "doc_freq": f"WITH {_SQL_POSTS} SELECT feat, df FROM freq",
+    "df_band": f"WITH {_SQL_POSTS} SELECT feat, df FROM band",
+    "dfpost": f"WITH {_SQL_POSTS} SELECT uid, feat, post, df FROM idx",
+    "shard_counts": f"WITH {_SQL_POSTS} SELECT CAST(((uid % 4) + 4) % 4 AS INT) AS shard, count(*) AS postings, count(DISTINCT uid) AS docs FROM idx GROUP BY 1",
+    "candidate_pairs": _sql_pairs(least=1),
+    "pairs_min_match": _sql_pairs(),
+    "pairs_cross_source": _sql_pairs("a.source <> b.source AND a.uid <> b.uid"),
+    "pairs_len_filter": _sql_pairs("a.n_chars < b.n_chars AND abs(a.post - b.post) <= 500"),
+    "pairs_self": _sql_pairs("a.uid <= b.uid"),
+    "merged_posts": f"WITH {_sql_matches()} SELECT uid2, uid, post2, df, post FROM matches QUALIFY count(*) OVER (PARTITION BY uid, uid2) >= {CFG.min_match}",
+    "uniform_prior": f"WITH {_sql_matches()} SELECT uid2, uid, CAST(1 AS DOUBLE) AS weight FROM matches GROUP BY uid2, uid HAVING count(*) >= {CFG.min_match}",
+    "span_edges": f"""WITH {_SQL_EXTENTS},
+lim AS (SELECT *, greatest(lag(e2, 1, 0) OVER w, b2 - {CFG.gap}) AS l2, least(coalesce(lead(b2) OVER w, e2 + {CFG.gap}), e2 + {CFG.gap}) AS r2 FROM ext WINDOW w AS (PARTITION BY uid2 ORDER BY b2, e2, uid, b, e))
+SELECT uid2, uid, CAST(l2 AS INT) AS left2, CAST(b2 AS INT) AS begin2, CAST(e2 AS INT) AS end2, CAST(r2 AS INT) AS right2, CAST(greatest(0, b - (b2 - l2 + 20)) AS INT) AS "left", CAST(b AS INT) AS "begin", CAST(e AS INT) AS "end", CAST(e + 20 + (r2 - e2) AS INT) AS "right" FROM lim""",
+    "vertices": f'WITH {_SQL_EXTENTS} SELECT uid, CAST(b AS INT) AS "begin", CAST(e AS INT) AS "end" FROM s1 UNION SELECT uid, CAST(b2 AS INT), CAST(e2 AS INT) FROM s2',
+    "link_spans": f'WITH {_SQL_LINKS} SELECT uid, CAST(b AS INT) AS "begin", CAST(e AS INT) AS "end", CAST(b2 AS INT) AS begin2, CAST(e2 AS INT) AS end2 FROM links',
+    "passage_edges": f"""WITH {_SQL_LINKS}
+SELECT uid AS src_uid, CAST(b AS INT) AS src_begin, CAST(e AS INT) AS src_end, uid2 AS dst_uid, CAST(b2 AS INT) AS dst_begin, CAST(e2 AS INT) AS dst_end, gid = gid2 AS boiler FROM ext
+UNION ALL SELECT * FROM (SELECT DISTINCT uid, CAST(b2 AS INT), CAST(e2 AS INT), uid, CAST(b AS INT), CAST(e AS INT), false FROM links)""",
+    "merge_spans": f"""WITH {_SQL_EXTENTS},
+seen AS (SELECT *, max(e2) OVER (PARTITION BY uid2 ORDER BY b2, e2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM ext),
+isle AS (SELECT *, sum(CASE WHEN past IS NULL OR b2 >= past THEN 1 ELSE 0 END) OVER (PARTITION BY uid2 ORDER BY b2, e2 ROWS UNBOUNDED PRECEDING) AS isl FROM seen)
+SELECT 1 AS cluster, uid2 AS uid, CAST(min(b2) AS INT) AS "begin", CAST(max(e2) AS INT) AS "end", coalesce(bool_or(gid = gid2) FILTER (uid <> uid2), false) AS boiler, CAST(count(*) FILTER (uid <> uid2) AS INT) AS n_src FROM isle GROUP BY uid2, isl""",
+    "connected_components": f"""WITH RECURSIVE found AS ({_sql_pairs()}),
+both_ways AS MATERIALIZED (SELECT uid AS a, uid2 AS b FROM found UNION SELECT uid2, uid FROM found),
+reach AS (SELECT a AS node, a AS low FROM both_ways UNION SELECT x.b, r.low FROM reach r JOIN both_ways x ON x.a = r.node WHERE r.low < x.b)
+SELECT node, min(low) AS component FROM reach GROUP BY node""",
+    "cluster_sizes": "SELECT lang AS cluster, count(DISTINCT doc_id) AS size, round(sum(CASE WHEN source = 'src0' THEN 1 ELSE 0 END) / nullif(count(source) - 1.0, 0), 9) AS pboiler FROM documents GROUP BY lang",
+    "corpus_clean": "SELECT doc_id, CAST(length(text) AS INT) AS length, lang, source FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL",
+    "field_projection": "SELECT doc_id AS uid, upper(source) AS gid, CAST(length(text) AS INT) AS size FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL",
+    "text_lines": f"""WITH l AS (SELECT doc_id AS uid, regexp_extract_all(text, '{_LINE_RE}') AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+u AS (SELECT uid, unnest(ls) AS text, generate_subscripts(ls, 1) AS k FROM l)
+SELECT uid, CAST(sum(length(text)) OVER (PARTITION BY uid ORDER BY k) - length(text) AS INT) AS "begin", text FROM u""",
+    "count_matches": r"""WITH c AS (SELECT doc_id AS uid, unnest(string_split(text, '')) AS x, generate_subscripts(string_split(text, ''), 1) AS k, length(text) AS n FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+SELECT d.doc_id AS uid, CAST(coalesce(m.n, 0) AS INT) AS matches FROM documents d LEFT JOIN (SELECT a.uid, count(*) AS n FROM c a JOIN c b ON a.uid = b.uid AND b.k = a.n + 1 - a.k WHERE lower(a.x) = lower(b.x) OR (regexp_full_match(a.x, '\s') AND regexp_full_match(b.x, '\s')) GROUP BY a.uid) m ON m.uid = d.doc_id WHERE d.doc_id IS NOT NULL AND d.text IS NOT NULL""",
+    "unpadded": "SELECT doc_id AS uid, replace(text, '-', '') AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL",
+    "passage_slice": "SELECT doc_id AS uid, substring(text, 1, 15) AS head, substring(text, 101, 80) AS core FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL",
+    "target_lines": r"""WITH l AS (SELECT doc_id AS uid, regexp_extract_all(replace(text, '-', '') || '----------', '[^\n]*\n|[^\n]+') AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+u AS (SELECT uid, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM l),
+o AS (SELECT uid, k, line, sum(length(line)) OVER w - length(line) AS o1, sum(length(replace(line, '-', ''))) OVER w - length(replace(line, '-', '')) AS o2 FROM u WINDOW w AS (PARTITION BY uid ORDER BY k))
+SELECT uid, CAST(greatest(o1 - 10, 0) AS INT) AS "begin", CAST(5 + o2 AS INT) AS begin2, line, CAST(length(line) AS INT) AS width FROM o""",
+    "loc_overlap": f"WITH {_SQL_LOCS} SELECT uid, CAST(i AS VARCHAR) AS loc FROM spots WHERE i * 100 < 420 AND i * 100 + 90 > 150",
+    "loc_slice": f"WITH {_SQL_LOCS} SELECT uid, CAST(i AS VARCHAR) AS loc FROM spots WHERE i BETWEEN least(1, length(text) // 100) AND 4",
+    "line_locs": f"WITH {_SQL_LOCS} SELECT uid, CAST(i AS VARCHAR) AS loc FROM spots WHERE i * 100 < 190 + length(replace(substring(text, 1, 60), '-', '')) AND i * 100 + 90 > 190",
+    "region_overlap_boxes": f"WITH {_SQL_LOCS} SELECT uid, CASE WHEN i < 3 THEN 1 ELSE 2 END AS seq, {_SQL_BOX} FROM spots WHERE i * 100 < 1150 AND i * 100 + 90 > 150 GROUP BY ALL",
+    "region_contained_boxes": f"WITH {_SQL_LOCS} SELECT uid, CASE WHEN i < 3 THEN 1 ELSE 2 END AS seq, {_SQL_BOX} FROM spots WHERE i * 100 >= 150 AND i * 100 + 90 <= 1150 GROUP BY ALL",
+    "format_round_trip": "SELECT c_custkey, c_name, c_nationkey, CAST(4 AS BIGINT) AS copies FROM customer",
+}
