@@ -4,8 +4,8 @@ The base spans are leftmost non-overlapping matches of four patterns (email, ip,
 The random field labels every white-space separated word of the whole text with its kind or none, from the
 shapes of the word and of its neighbours (letters, digits and marks; runs of letters are collapsed). It is
 trained here by maximum likelihood on the small labelled table of ``labelled_rows`` and decoded exactly by
-Viterbi in numpy batches: where ``none`` wins at a word whatever its neighbours are labelled, the chain falls
-apart, so only the stretches between such words are decoded, many of equal length at a time.
+Viterbi in numpy batches: words that no run of kinds on the best path can hold are found by sums first, the chain
+falls apart there, and only the stretches between are decoded, many of equal length at a time.
 
 Spans of the field are runs of words of one kind without outer punctuation, kept if they hold a plausible number
 of digits (cards: passing Luhn, as other long numbers are no cards; emails: an at sign or its spelling) and touch
@@ -84,12 +84,18 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+_SHAPE = bytes(120 if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 100 if 48 <= b <= 57 else b for b in range(256))
+_RUNS = re.compile(rb"x+|d{5,}|([^xd])\1+")
+
+
+def _run(m: re.Match[bytes]) -> bytes:
+    run = m[0]
+    return run[:1] if run[:1] != b"d" else b"ddddd" if len(run) < 12 else b"D" if len(run) <= 19 else b"L"
+
+
 def shape(word: str) -> str:
-    """Letters become x, digits d, other marks stay; runs of letters count once, of digits up to five."""
-    flat = "".join("d" if "0" <= c <= "9" else "x" if c.isalnum() else c for c in word[:64])
-    flat = re.sub("x+", "x", flat)
-    flat = re.sub("d{5,}", lambda m: "ddddd" if len(m[0]) < 12 else "D" if len(m[0]) <= 19 else "L", flat)
-    return re.sub(r"([^\w\s])\1+", r"\1", flat)
+    """Letters become x, digits d, other marks stay; runs of letters and marks count once, of digits up to five."""
+    return _RUNS.sub(_run, word[:64].encode("utf-8", "surrogatepass").translate(_SHAPE)).decode("ascii")
 
 
 _CUES = {w: k for k, line in enumerate((("at", "arobase", "(at)", "[at]"), ("dot", "(dot)", "[dot]", "punkt", "punto", "point"), ("call", "phone", "tel", "telephone", "fax", "mobile", "telefon", "téléphone", "teléfono", "dial"), ("card", "visa", "mastercard", "karte", "carte", "tarjeta"), ("mail", "email", "e-mail", "contact", "write"))) for w in line}
@@ -97,7 +103,7 @@ _CUES = {w: k for k, line in enumerate((("at", "arobase", "(at)", "[at]"), ("dot
 
 def feature(word: str) -> str:
     """The shape, or the cue that a word is."""
-    cue = _CUES.get(word.strip(".,:;!?").lower())
+    cue = _CUES.get(word.strip(".,:;!?").lower()) if len(word) < 16 else None
     return shape(word) if cue is None else f"cue{cue}"
 
 
@@ -163,6 +169,23 @@ def labelled_rows(seed: int = 7, rows: int = 800) -> list[list[tuple[str, int]]]
     return table
 
 
+class _Codes(dict[str, int]):
+    """Words to feature numbers; each distinct word is worked out once while it is remembered."""
+
+    def __init__(self, features: dict[str, int]):
+        super().__init__()
+        self.features = features
+
+    def __missing__(self, word: str) -> int:
+        k = self.features.get(feature(word), Field.UNKNOWN)
+        if len(word) <= 40:
+            self[word] = k
+        return k
+
+    def __reduce__(self) -> tuple:
+        return _Codes, (self.features,)
+
+
 @dataclass
 class Field:
     """Weights of the chain: one row of label weights per feature, for the word, the one before and the one after."""
@@ -172,57 +195,64 @@ class Field:
     before: np.ndarray
     after: np.ndarray
     move: np.ndarray
-    memo: dict[str, int] = field(default_factory=dict)
+    memo: dict[str, int] = field(init=False, repr=False)
 
     UNKNOWN, EDGE = 0, 1
 
+    def __post_init__(self) -> None:
+        self.memo = _Codes(self.features)
+
     def code(self, words: list[str]) -> np.ndarray:
-        memo, out = self.memo, []
+        memo = self.memo
         if len(memo) > 400_000:
             memo.clear()
-        for w in words:
-            k = memo.get(w)
-            if k is None:
-                k = self.features.get(feature(w), self.UNKNOWN)
-                if len(w) <= 40:
-                    memo[w] = k
-            out.append(k)
-        return np.array(out, np.int32)
+        return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         edged = np.concatenate([[self.EDGE], codes, [self.EDGE]])
         return self.own[codes] + self.before[edged[:-2]] + self.after[edged[2:]]
 
-    def margin(self) -> float:
-        """A lead of ``none`` at a word beyond which no neighbours can turn it."""
-        m = self.move
-        return max(float((m[:, y, None] + m[None, y, :].squeeze() - m[:, 0, None] - m[None, 0, :].squeeze()).max()) for y in range(1, len(LABELS)))
-
     def decode(self, codes: np.ndarray) -> np.ndarray:
         """The best labelling of one chain."""
         return self.decode_all([codes])[0]
 
+    def possible(self, e: np.ndarray) -> np.ndarray:
+        """Words that may have a kind on the best path, given emissions with a bar of minus infinity between chains.
+
+        A run of kinds on the best path beats leaving its words unlabelled. What it can gain is at most the sum over
+        its words of the lead of the best kind plus the best move into a kind, and the best move out of one; words
+        that lie in no run with a gain, by sums over the best run to either side, are unlabelled for certain.
+        """
+        m = self.move
+        gain = (e[:, 1:].max(1) - e[:, 0]).astype(np.float64) + float(m[:, 1:].max() - m[0, 0])
+        total = np.cumsum(gain)
+        ahead = total - gain
+        upto = total - np.minimum.accumulate(ahead)
+        onward = np.maximum.accumulate(total[::-1])[::-1] - ahead
+        return upto + onward - gain + float(max(m[:, 0].max() - m[0, 0], 0.0)) + 1e-6 >= 0
+
     def decode_all(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        sizes = [len(c) for c in chains]
-        out = np.zeros(sum(sizes), np.int8)
-        if not len(out):
-            return [out[:0] for _ in chains]
-        e = np.concatenate([self.emissions(c) for c in chains if len(c)])
-        starts = np.cumsum([0, *sizes])
-        sure = e[:, 0] - e[:, 1:].max(1) > max(self.margin(), 0.0)
-        chain = np.repeat(np.arange(len(chains)), sizes)
-        idx = np.flatnonzero(~sure)
+        sizes = np.array([len(c) for c in chains], np.int64)
+        bar = np.array([self.EDGE], np.int32)
+        codes = np.concatenate([bar, *(x for c in chains for x in (c, bar))])
+        out = np.zeros(len(codes), np.int8)
+        starts = np.cumsum(sizes + 1) - sizes
+        inner = codes != self.EDGE
+        e = self.own[codes]
+        e[1:] += self.before[codes[:-1]]
+        e[:-1] += self.after[codes[1:]]
+        e[~inner] = (1e4, 0, 0, 0, 0)
+        idx = np.flatnonzero(self.possible(e) & inner)
         if len(idx):
-            cut = np.flatnonzero((np.diff(idx) > 1) | (np.diff(chain[idx]) > 0)) + 1
+            cut = np.flatnonzero(np.diff(idx) > 1) + 1
             first, last = idx[np.concatenate([[0], cut])], idx[np.concatenate([cut - 1, [len(idx) - 1]])]
             length = last - first + 1
-            head = np.isin(first, starts[:-1])  # the chain begins here: no label before
-            tail = np.isin(last + 1, starts[1:])
+            head, tail = ~inner[first - 1], ~inner[last + 1]  # the chain begins or ends here: no label beyond
             for n in np.unique(length):
                 which = np.flatnonzero(length == n)
                 at = first[which][:, None] + np.arange(n)
                 out[at] = self._viterbi(e[at], head[which], tail[which])
-        return [out[a:b] for a, b in zip(starts[:-1], starts[1:])]
+        return [out[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist())]
 
     def _viterbi(self, e: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
         """Labels of equally long stretches e[stretch, word, label] whose outer neighbours, if any, are ``none``."""
