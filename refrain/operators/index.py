@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refrain.config import ReuseConfig
+from refrain.operators.graph import written
 
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -85,6 +86,8 @@ def df_band(freq: DataFrame, cfg: ReuseConfig) -> DataFrame:
 def index(posts: DataFrame, cfg: ReuseConfig) -> DataFrame:
     """Postings of grams within the band, with df and the target's shard.
 
-    The band is applied before the join, so a gram that most documents hold never reaches one task as a group.
+    The postings are written once, as counting and joining both read them. The counts are combined before their
+    shuffle and the band is applied before the join, so a gram that most documents hold is no group of one task.
     """
+    posts = written(posts)
     return posts.join(df_band(doc_freq(posts), cfg), "feat").withColumn("shard", F.pmod(F.col("uid"), F.lit(cfg.shards)).cast("int"))

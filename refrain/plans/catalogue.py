@@ -362,8 +362,8 @@ SELECT uid2, uid, CAST(l2 AS INT) AS left2, CAST(b2 AS INT) AS begin2, CAST(e2 A
 SELECT uid AS src_uid, CAST(b AS INT) AS src_begin, CAST(e AS INT) AS src_end, uid2 AS dst_uid, CAST(b2 AS INT) AS dst_begin, CAST(e2 AS INT) AS dst_end, gid = gid2 AS boiler FROM ext
 UNION ALL SELECT * FROM (SELECT DISTINCT uid, CAST(b2 AS INT), CAST(e2 AS INT), uid, CAST(b AS INT), CAST(e AS INT), false FROM links)""",
     "merge_spans": f"""WITH {_SQL_EXTENTS},
-seen AS (SELECT *, max(e2) OVER (PARTITION BY uid2 ORDER BY b2, e2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM ext),
-isle AS (SELECT *, sum(CASE WHEN past IS NULL OR b2 >= past THEN 1 ELSE 0 END) OVER (PARTITION BY uid2 ORDER BY b2, e2 ROWS UNBOUNDED PRECEDING) AS isl FROM seen)
+seen AS (SELECT *, max(e2) OVER (PARTITION BY uid2 ORDER BY b2, e2, uid, b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM ext),
+isle AS (SELECT *, sum(CASE WHEN past IS NULL OR b2 >= past THEN 1 ELSE 0 END) OVER (PARTITION BY uid2 ORDER BY b2, e2, uid, b, e ROWS UNBOUNDED PRECEDING) AS isl FROM seen)
 SELECT 1 AS cluster, uid2 AS uid, CAST(min(b2) AS INT) AS "begin", CAST(max(e2) AS INT) AS "end", coalesce(bool_or(gid = gid2) FILTER (uid <> uid2), false) AS boiler, CAST(count(*) FILTER (uid <> uid2) AS INT) AS n_src FROM isle GROUP BY uid2, isl""",
     "connected_components": f"""WITH RECURSIVE found AS ({_sql_pairs()}),
 both_ways AS MATERIALIZED (SELECT uid AS a, uid2 AS b FROM found UNION SELECT uid2, uid FROM found),
