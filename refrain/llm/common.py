@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refrain.operators.graph import shared_folder, written
+
 #: Rows of text handed to one numpy pass hold at most about so many bytes (one longer text is a pass of its own).
 CHUNK_BYTES = 8 << 20
 
@@ -19,27 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests on one machine)
-    a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="refrain-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+#: A fresh folder under ``spark.checkpoint.dir``; a temporary one is made only where that is unset, as in tests.
+work_dir = shared_folder
 
 
 def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Write the rows as Parquet in the shared folder and read them back: lineage ends there."""
-    path = work_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df)
 
 
 def doc_columns(docs: DataFrame) -> DataFrame:
