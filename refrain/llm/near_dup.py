@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refrain.llm.common import chunks, doc_columns, stored
@@ -242,7 +242,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     @F.arrow_udf("boolean")
     def linked(s: pa.Array, t: pa.Array) -> pa.Array:
         out, name, first = [], None, set()
-        for x, y in zip(s.to_pylist(), t.to_pylist()):
+        for x, y in zip(s, t):  # one at a time: a batch of long texts is not held twice
+            x, y = x.as_py(), y.as_py()
             if x != name:
                 name, first = x, shingles(x)
             second = shingles(y)
@@ -268,15 +269,12 @@ def components(docs: DataFrame, percent: int = 70, small: int = 12, block: int =
     found = stored(bucketed.mapInArrow(_partners(small), "kind int, a long, b long"), spark)
     pairs = stored(_pruned(found.where("kind = 0").select("a", "b").distinct(), reps, threshold), spark)
 
-    def texts_of(these: DataFrame) -> DataFrame:
-        """Texts of the classes in the partners, one per class."""
-        need = these.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        who = reps.join(need, "class", "left_semi").select("class", F.col("rep").alias("rep_id"))
-        # A null representative is found by its own set; ids may repeat with other texts, so the set decides.
-        joined = docs.join(who, docs.doc_id.eqNullSafe(who.rep_id)).select("class", "text")
-        return joined.where(_class_of("text") == F.col("class")).dropDuplicates(["class"])
+    # Texts of the classes that may be compared: one scan, one shuffle, kept for both rounds.
+    need = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(found.where("kind = 1").select("b")).distinct()
+    who = reps.join(need, "class", "left_semi").select("class", F.col("rep").alias("rep_id"))
+    texts = stored(docs.join(who, docs.doc_id.eqNullSafe(who.rep_id)).select("class", "text").mapInArrow(_own_text, "class long, text string").dropDuplicates(["class"]), spark)
 
-    links = stored(_linked(pairs, texts_of(pairs), percent), spark)
+    links = stored(_linked(pairs, texts, percent), spark)
     large = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class")).distinct()
     if not large.isEmpty():
         joined = connected_components(links)
@@ -302,7 +300,7 @@ def components(docs: DataFrame, percent: int = 70, small: int = 12, block: int =
 
         more = stored(cells.groupBy("key", "i", "j").applyInPandas(across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), spark)
         if not more.isEmpty():
-            links = stored(links.unionByName(_linked(more, texts_of(more), percent)), spark)
+            links = stored(links.unionByName(_linked(more, texts, percent)), spark)
     joined = connected_components(links)
     named = reps.select("class", "rep").join(joined, reps["class"] == joined.node, "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     linked = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -311,13 +309,11 @@ def components(docs: DataFrame, percent: int = 70, small: int = 12, block: int =
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _class_of(text: str) -> Column:
-    @F.arrow_udf("long")
-    def cls(texts: pa.Array) -> pa.Array:
-        sets = shingle_sets(texts)
-        return pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).astype(np.int64), mask=np.array([len(s) == 0 for s in sets], bool)) if sets else pa.array([], pa.int64())
-
-    return cls(F.col(text))
+def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (class, text) whose text has that class; rows of one id may have different texts."""
+    for batch in chunks(batches):
+        own = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in shingle_sets(batch.column(1))], np.uint64).astype(np.int64)
+        yield batch.filter(pa.array(own == np.asarray(batch.column(0))))
 
 
 def survivors(docs: DataFrame, percent: int = 70) -> DataFrame:
