@@ -1,6 +1,7 @@
 """Operator 4: best-fit packing of token runs into sequences, with a bounded number of open bins.
 
-Each task packs the pieces that it tokenises itself, as they come: no row is shuffled. Open bins are kept by
+Each task packs the pieces that it tokenises itself: no row is shuffled. Pieces come in batches of about 8 MB of
+text, and those of a batch are placed longest first, as a buffer of that size lets an online packer do. Open bins are kept by
 free space, and the set of free spaces in use is one integer with a bit per free space, so the tightest bin
 that takes a piece is found by masking and taking the lowest set bit. When more than ``open_bins`` bins are
 open, the fullest one closes.
@@ -74,14 +75,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             ids, bounds = encode_texts(batch.column(1), tokenizer)
             raw = ids.astype("<u4", copy=False).tobytes()
             tail = np.array([end_id], "<u4").tobytes()
-            rows: list[list[int]] = [[] for _ in range(7)]
+            pieces: list[tuple[int, int, int, int, int]] = []
             for doc, lo, hi in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 n, whole = hi - lo + 1, memoryview(raw[4 * lo : 4 * hi] + tail)
                 for piece, start in enumerate(range(0, n, capacity)):
                     length = min(capacity, n - start)
-                    seq, offset = bins.add(length)
-                    for out, x in zip(rows, (doc, piece, start, length, zlib.crc32(whole[4 * start : 4 * (start + length)]), base + seq, offset)):
-                        out.append(x)
+                    pieces.append((doc, piece, start, length, zlib.crc32(whole[4 * start : 4 * (start + length)])))
+            pieces.sort(key=lambda p: -p[3])  # stable: ties stay as they came
+            placed = [bins.add(p[3]) for p in pieces]
+            rows = [*zip(*pieces), [base + b for b, _ in placed], [offset for _, offset in placed]]
             kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
