@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from refrain.llm.common import chunks, doc_columns
 
+#: Text decoded at once, and words remembered by a worker: both bound memory only.
+_CHUNK, _MEMO = 4 << 20, 150_000
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -204,7 +206,7 @@ class Field:
 
     def code(self, words: list[str]) -> np.ndarray:
         memo = self.memo
-        if len(memo) > 400_000:
+        if len(memo) > _MEMO:
             memo.clear()
         return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
 
@@ -381,7 +383,7 @@ def find(docs: DataFrame, model: Field | None = None) -> DataFrame:
     model = model or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=_CHUNK):
             found = all_spans([t or "" for t in batch.column(1).to_pylist()], model)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -413,8 +415,11 @@ def redact_column(text: str = "text", model: Field | None = None) -> Column:
 
     @F.arrow_udf("string")
     def redact(texts: pa.Array) -> pa.Array:
-        rows = texts.to_pylist()
-        found = all_spans([t or "" for t in rows], model)
-        return pa.array([None if t is None else redacted(t, base + more) if base or more else t for t, (base, more) in zip(rows, found)], pa.string())
+        out: list[str | None] = []
+        for batch in chunks([pa.RecordBatch.from_arrays([texts.cast(pa.string())], names=["text"])], most=_CHUNK):
+            rows = batch.column(0).to_pylist()
+            found = all_spans([t or "" for t in rows], model)
+            out += [None if t is None else redacted(t, base + more) if base or more else t for t, (base, more) in zip(rows, found)]
+        return pa.array(out, pa.string())
 
     return redact(F.col(text).cast("string"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks memoised by a Python worker before the memo starts anew; affects speed only.
-MEMO = 300_000
+MEMO = 200_000
 #: Chunks beyond this length are encoded but not memoised.
 MEMO_CHARS = 40
 

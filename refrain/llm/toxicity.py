@@ -67,7 +67,7 @@ class Model:
                     memo[x] = known
             if known:
                 present.update(known)
-        if len(memo) > 400_000:
+        if len(memo) > 150_000:
             memo.clear()
         for x in sorted(present):  # in one order, so that equal texts score alike to the last bit
             z += w[x]

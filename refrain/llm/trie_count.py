@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from refrain.llm.common import chunks, doc_columns
 
 MARK = "▁"
-MEMO, MEMO_CHARS = 400_000, 40
+MEMO, MEMO_CHARS = 200_000, 40
 RESULT = "doc_id long, n_tokens long, n_pretokens long"
 
 
