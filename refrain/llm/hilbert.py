@@ -1,10 +1,10 @@
 """Operator 3: Hilbert-curve sharding: near rows in metadata space land in one shard, shards differ by one row at most.
 
 Several metadata dimensions are quantised at quantiles of the whole table, the cell's index along a Hilbert curve
-gives the order, and the order is cut into runs of equal row counts (the ``rows`` law). Rows of one cell are
-ordered by checksum of the text, then id, so equal texts of a cell lie together. A cell that holds a third of
-all rows is no single task: its rows are spread over sub-cells by a hash of the id, and a row's place is the
-count of all rows in earlier sub-cells plus its rank in its own; the table of sub-cells has a fixed size.
+gives the order, and the order is cut into runs of equal row counts (the ``rows`` law). A cell that holds a third
+of all rows is no single task: its rows are spread by hash over sub-cells of about 1 / ``parts`` of all rows, and
+a row's place is the count of all rows in earlier sub-cells plus its rank in its own, by checksum of the text,
+then id. The table of sub-cells has at most 2^(3 * bits) + ``parts`` rows, whatever the corpus holds.
 
 Cases: null metadata sorts first; a null text has size 1 and the checksum of the empty text; null ids sort
 first; repeated rows each get a place of their own; an empty table gives no rows; other columns are ignored.
@@ -58,7 +58,7 @@ def _leading(values: pa.Array) -> np.ndarray:
     return np.array([-1 if v is None else int.from_bytes(v[:7].ljust(7, b"\0"), "big") for v in values.cast(pa.binary()).to_pylist()], np.int64)
 
 
-def shard(docs: DataFrame, shards: int = 8, bits: int = 5, sub_cells: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, bits: int = 5, parts: int = 4096) -> DataFrame:
     """Shard and slot of each document, ordered along a curve over (lang, source, size)."""
     spark = docs.sparkSession
 
@@ -83,14 +83,14 @@ def shard(docs: DataFrame, shards: int = 8, bits: int = 5, sub_cells: int = 16)
         cells = np.stack([np.searchsorted(e, k, "left") for e, k in zip(edges, (k0, k1, k2))], axis=1)
         return pd.Series(hilbert_index(cells, bits))
 
-    # Sub-cells in order of the cell, then of the checksum: a hash of it, so a hot cell splits evenly unless its texts are equal; ids split those.
-    sub = F.pmod(F.xxhash64("doc_id"), F.lit(sub_cells))
-    placed = stored(rows.select("doc_id", "size", "text_crc32", along("k0", "k1", "k2").alias("curve")).withColumn("sub", sub), spark)
-    per = placed.groupBy("curve", "sub").count()  # at most 2^(3 bits) * sub_cells rows
+    placed = stored(rows.select("doc_id", "size", "text_crc32", along("k0", "k1", "k2").alias("curve"), F.monotonically_increasing_id().alias("row")), spark)
+    total = placed.count()
+    cells = placed.groupBy("curve").count().select("curve", F.ceil(F.col("count") * parts / max(total, 1)).alias("subs"))  # at most 2^(3 bits) rows
+    placed = placed.join(F.broadcast(cells), "curve").withColumn("sub", F.pmod(F.xxhash64("row"), F.col("subs")))
+    per = placed.groupBy("curve", "sub").count()  # at most 2^(3 bits) + parts rows
     before = F.coalesce(F.sum("count").over(Window.orderBy("curve", "sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ahead = per.select("curve", "sub", before.alias("before"))
-    total = placed.count()
-    rank = F.row_number().over(Window.partitionBy("curve", "sub").orderBy("text_crc32", F.asc_nulls_first("doc_id"))) - 1
+    rank = F.row_number().over(Window.partitionBy("curve", "sub").orderBy("text_crc32", F.asc_nulls_first("doc_id"), "row")) - 1
     place = placed.withColumn("rank", rank).join(F.broadcast(ahead), ["curve", "sub"]).withColumn("place", F.col("before") + F.col("rank"))
     small, large = divmod(total, shards)  # the first `large` shards take one row more
     edge = large * (small + 1)
