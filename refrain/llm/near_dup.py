@@ -24,6 +24,7 @@ texts, and each row gets its own line; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refrain.llm.common import chunks, doc_columns, stored
@@ -110,11 +112,17 @@ def chance_collisions(a: np.ndarray, b: np.ndarray, mantissa: int = MANTISSA) ->
     return REGISTERS * x * y / np.maximum(total, 1e-9) * out
 
 
-def estimate(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Collision-corrected Jaccard estimates of register rows p and q of sets of n and m shingles."""
-    used = ((p != EMPTY) | (q != EMPTY)).sum(1)
-    same = ((p == q) & (p != EMPTY)).sum(1)
-    by_chance = chance_collisions(n, m) * (1 - same / np.maximum(used, 1))
+def compact(reg: np.ndarray) -> np.ndarray:
+    """Registers folded to a byte each, for comparing: equal ones stay equal, others meet once in 251; 255 is empty."""
+    return np.where(reg == EMPTY, 255, reg % 251).astype(np.uint8)
+
+
+def estimate(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Collision-corrected Jaccard estimates of rows p and q (registers or folded ones) of sets of n and m shingles, and the registers used."""
+    empty, folded = (255, 1 / 251) if p.dtype == np.uint8 else (EMPTY, 0.0)
+    used = ((p != empty) | (q != empty)).sum(1)
+    same = ((p == q) & (p != empty)).sum(1)
+    by_chance = (chance_collisions(n, m) + folded * used) * (1 - same / np.maximum(used, 1))
     return np.maximum(same - by_chance, 0) / np.maximum(used, 1), used
 
 
@@ -153,15 +161,28 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 4096):
             part = batch.slice(k, 4096)
-            reg = _matrix(part.column(1))
+            reg = _matrix(part.column(1), np.uint16)
             key, on = band_keys(reg)
             cls = np.asarray(part.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(np.broadcast_to(cls[:, None], on.shape)[on])], names=["key", "class"])
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
+def _matrix(column: pa.Array | pd.Series, kind: type = np.uint8) -> np.ndarray:
     rows = column.to_pylist() if isinstance(column, pa.Array) else list(column)
-    return np.frombuffer(b"".join(rows), np.uint16).reshape(len(rows), REGISTERS)
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), REGISTERS)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (class, n_shingles, sketch) with the sketch folded."""
+    for batch in batches:
+        small = compact(_matrix(batch.column(2), np.uint16))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in small], pa.binary())], names=["class", "n_shingles", "sketch"])
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now: their plans are garbage once a step is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _partners(small: int):  # noqa: ANN202
@@ -230,9 +251,9 @@ def _pruned(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(possible("p", "q", "n", "m")).select("a", "b")
 
 
-def shingles(text: str) -> set[tuple[bytes, ...]]:
+def shingles(text: bytes) -> set[tuple[bytes, ...]]:
     """The full set of a text, unhashed."""
-    w = text.encode().lower().split()
+    w = text.lower().split()
     return set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else {tuple(w)} if w else set()
 
 
@@ -241,12 +262,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def linked(s: pa.Array, t: pa.Array) -> pa.Array:
-        out, name, first = [], None, set()
-        for x, y in zip(s, t):  # one at a time: a batch of long texts is not held twice
+        out, name, first, codec = [], None, set(), zstandard.ZstdDecompressor()
+        for x, y in zip(s, t):  # one at a time: texts are unpacked only here
             x, y = x.as_py(), y.as_py()
             if x != name:
-                name, first = x, shingles(x)
-            second = shingles(y)
+                name, first = x, shingles(codec.decompress(x))
+            second = shingles(codec.decompress(y))
             common = len(first & second)
             out.append(100 * common >= percent * (len(first) + len(second) - common))
         return pa.array(out, pa.bool_())
@@ -267,14 +288,20 @@ def components(docs: DataFrame, percent: int = 70, small: int = 12, block: int =
 
     bucketed = reps.select("class", "sketch").mapInArrow(_bands, "key long, class long").repartition(F.col("key")).sortWithinPartitions("key", "class")
     found = stored(bucketed.mapInArrow(_partners(small), "kind int, a long, b long"), spark)
-    pairs = stored(_pruned(found.where("kind = 0").select("a", "b").distinct(), reps, threshold), spark)
+    del bucketed, solid, least
+    _tidy(spark)
+    folded = stored(reps.select("class", "n_shingles", "sketch").mapInArrow(_folded, "class long, n_shingles long, sketch binary"), spark)
+    pairs = stored(_pruned(found.where("kind = 0").select("a", "b").distinct(), folded, threshold), spark)
+    _tidy(spark)
 
     # Texts of the classes that may be compared: one scan, one shuffle, kept for both rounds.
     need = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(found.where("kind = 1").select("b")).distinct()
     who = reps.join(need, "class", "left_semi").select("class", F.col("rep").alias("rep_id"))
-    texts = stored(docs.join(who, docs.doc_id.eqNullSafe(who.rep_id)).select("class", "text").mapInArrow(_own_text, "class long, text string").dropDuplicates(["class"]), spark)
+    texts = stored(docs.join(who, docs.doc_id.eqNullSafe(who.rep_id)).select("class", "text").mapInArrow(_own_text, "class long, text binary").dropDuplicates(["class"]), spark)
 
+    _tidy(spark)
     links = stored(_linked(pairs, texts, percent), spark)
+    _tidy(spark)
     large = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class")).distinct()
     if not large.isEmpty():
         joined = connected_components(links)
@@ -282,7 +309,7 @@ def components(docs: DataFrame, percent: int = 70, small: int = 12, block: int =
         mixed = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
         rank = F.row_number().over(Window.partitionBy("key").orderBy("class")) - 1
         blocked = member.join(mixed, "key").withColumn("block", F.expr(f"cast({0} as bigint)") + F.floor(rank / block)).withColumn("blocks", F.ceil(F.col("n") / block))
-        cells = blocked.join(reps.select("class", "sketch", "n_shingles"), "class").withColumn("other", F.explode(F.expr("sequence(0L, cast(blocks - 1 as bigint))")))
+        cells = blocked.join(folded, "class").withColumn("other", F.explode(F.expr("sequence(0L, cast(blocks - 1 as bigint))")))
         cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "component", "sketch", "n_shingles")
 
         def across(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -310,10 +337,12 @@ def components(docs: DataFrame, percent: int = 70, small: int = 12, block: int =
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (class, text) whose text has that class; rows of one id may have different texts."""
+    """Rows (class, text) whose text has that class, compressed; rows of one id may have different texts."""
+    codec = zstandard.ZstdCompressor(level=3)
     for batch in chunks(batches):
         own = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in shingle_sets(batch.column(1))], np.uint64).astype(np.int64)
-        yield batch.filter(pa.array(own == np.asarray(batch.column(0))))
+        kept = batch.filter(pa.array(own == np.asarray(batch.column(0))))
+        yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([codec.compress(t.as_buffer()) for t in kept.column(1).cast(pa.binary())], pa.binary())], names=["class", "text"])
 
 
 def survivors(docs: DataFrame, percent: int = 70) -> DataFrame:
