@@ -4,8 +4,9 @@ A logistic model over the presence of words. It is fitted to labelled rows whose
 0, at most ``per_class`` of each label (chosen by hash of the id; the only sample, weighted back to the label
 counts), by proximal gradient steps with an L1 term
 that chooses features, and again without it on those chosen. For every labelled text that names an identity group, copies
-are made in which the term is swapped for the others of its group, and the squared change of the score's log-odds
-is penalised; so neutral mentions of any group move the score alike, and by little.
+are made in which the term is swapped for the others of its group, with all features that the term alone gives (its
+beginnings too), and the squared change of the score's log-odds is penalised; so mentions of the groups of a line
+move the score alike.
 
 Features are the words of the text and their beginnings of 4 to 8 bytes, which catch inflected forms (A-Z
 lower-cased, runs of letters and digits), each counted once per text; labels, lang, source and
@@ -101,27 +102,34 @@ def fit(texts: list[set[bytes]], labels: np.ndarray, weight: np.ndarray, vocabul
     named = {t.encode() for line in IDENTITY for t in line}
     column = {w: k for k, w in enumerate(dict.fromkeys([*chosen, *sorted(named)]))}
     x = np.zeros((len(texts), len(column)), np.float32)
-    pairs: list[tuple[int, int, int]] = []
+    y, sw = labels.astype(np.float32), (weight / weight.sum()).astype(np.float32)
+    moves: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()  # weight of the swaps by the columns that they switch off and on
+    starts = {w[:4] for w in named}
     for k, t in enumerate(texts):
         x[k, [column[f] for f in chain.from_iterable(map(memo.__getitem__, t)) if f in column]] = 1
-        pairs += [(k, column[a], column[b]) for a, b in _swaps(t & named)]
-    y, sw = labels.astype(np.float32), (weight / weight.sum()).astype(np.float32)
-    i, a, b = (np.array(c, np.int64) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
-    pw = sw[i] / np.bincount(i, minlength=len(x))[i] if len(i) else np.zeros(0, np.float32)
+        swaps = list(_swaps(t & named))
+        alike = [w for w in t if w[:4] in starts] if swaps else []
+        for a, b in swaps:
+            stay = set(chain.from_iterable(memo[w] for w in alike if w != a))  # features that other words give
+            off, on = set(traits(a)), set(traits(b))
+            moves[tuple(sorted(column[f] for f in off - on - stay if f in column)), tuple(sorted(column[f] for f in on - off - stay if f in column))] += sw[k] / len(swaps)
+    pull = np.zeros((len(column), len(column)))  # the penalty is v @ pull @ v
+    for (off, on), share in moves.items():
+        at, sign = [*off, *on], np.array([1.0] * len(off) + [-1.0] * len(on))
+        pull[np.ix_(at, at)] += counterfactual * float(share) * np.outer(sign, sign)
+    pull = pull.astype(np.float32)
     start = float(np.log(rate / (1 - rate)))
 
-    def descend(x: np.ndarray, a: np.ndarray, b: np.ndarray, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
-        """Accelerated proximal gradient steps; the swaps (a -> b) penalise the squared change of the log-odds."""
+    def descend(x: np.ndarray, pull: np.ndarray, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+        """Accelerated proximal gradient steps; ``pull`` penalises the squared change of the log-odds under swaps."""
         w, bias = np.zeros(x.shape[1], np.float32), start
-        v, vb, t, lacks = w.copy(), bias, 1.0, 1 - x[i, b]
-        size = 1.0 / (0.25 * float((x * x).sum(1) @ sw + 1) + 4 * counterfactual * float(pw.sum()) + l2)
+        v, vb, t = w.copy(), bias, 1.0
+        felt = np.flatnonzero(pull.any(0))
+        steepest = float(np.linalg.eigvalsh(pull[np.ix_(felt, felt)].astype(float))[-1]) if len(felt) else 0.0
+        size = 1.0 / (0.25 * float((x * x).sum(1) @ sw + 1) + 2 * steepest + l2)
         for _ in range(steps):
             g = (1 / (1 + np.exp(-np.clip(x @ v + vb, -30, 30))) - y) * sw
-            grad = x.T @ g + l2 * v
-            if len(i):
-                d = 2 * counterfactual * (v[a] - v[b] * lacks) * pw
-                np.add.at(grad, a, d)
-                np.subtract.at(grad, b, d * lacks)
+            grad = x.T @ g + l2 * v + 2 * (pull @ v)
             new = v - size * grad
             new = np.sign(new) * np.maximum(np.abs(new) - size * l1, 0)
             nb = vb - size * float(g.sum())
@@ -130,12 +138,11 @@ def fit(texts: list[set[bytes]], labels: np.ndarray, weight: np.ndarray, vocabul
             w, bias, t = new, nb, nt
         return w, bias
 
-    first, bias = descend(x, a, b, l1, 0.0, steps)
+    first, bias = descend(x, pull, l1, 0.0, steps)
     # The L1 term chooses the features and shrinks them; they are fitted again without it. Identity terms take part in swaps.
-    used = np.flatnonzero((first != 0) | np.isin(np.arange(len(first)), np.concatenate([a, b])))
-    place = np.zeros(len(first), np.int64)
-    place[used] = np.arange(len(used))
-    again, bias = descend(np.ascontiguousarray(x[:, used]), place[a], place[b], 0.0, l2, 2 * steps)
+    terms = np.isin(np.arange(len(first)), [column[w] for w in named])
+    used = np.flatnonzero((first != 0) | (terms & pull.any(0)))
+    again, bias = descend(np.ascontiguousarray(x[:, used]), np.ascontiguousarray(pull[np.ix_(used, used)]), 0.0, l2, 2 * steps)
     w = np.zeros(len(first), np.float32)
     w[used] = again
     return Model({word: float(w[k]) for word, k in column.items() if w[k] != 0}, float(bias))

@@ -403,6 +403,23 @@ def test_counterfactual_term_shrinks_the_gap():
     assert gap[20.0] < 0.5 * gap[0.0]
 
 
+def test_swapped_sentences_score_alike(spark):
+    """Terms of 5 and more bytes have beginnings as features, which the swaps must move too."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for k in range(2000):
+        toxic = k % 4 == 0
+        w = [f"n{n}" for n in rng.integers(0, 50, 6)] + (["vile"] if toxic and rng.random() < 0.7 else [])
+        w += (["muslim"] if rng.random() < (0.4 if toxic else 0.05) else []) + (["christian"] if rng.random() < 0.05 else [])
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    odds = lambda t: math.log(model.score(t) / (1 - model.score(t)))
+    for other in ("christian", "jewish", "sikh"):
+        assert abs(odds("n1 n2 muslim n3") - odds(f"n1 n2 {other} n3")) < 0.5
+    assert model.score("n1 vile n2") > 0.5
+
+
 def test_urls(spark, sf_dir):
     odd_urls = [None, "", "no scheme", "http://COM/en/1", "ftp://a.b.example.com/en/77?q=1#f", "x://example.net/de/8", "x://notexample.net/de/8", "https://host", "://", "a://b?c/d", "http://net/de/", "http://x.org/es", "http://x.org/es/ü\nz", "http://İ.COM/en/", "u" * 5000 + "://h/p"]
     pages = table(spark, sf_dir, "pages").select("page_id", "url").unionByName(spark.createDataFrame([(10**6 + k, u) for k, u in enumerate(odd_urls)], "page_id long, url string"))
