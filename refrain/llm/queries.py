@@ -48,7 +48,7 @@ def op7_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:

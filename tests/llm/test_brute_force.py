@@ -205,6 +205,46 @@ def test_near_matches_and_postings(spark):
     assert found[("q", 1)] == [5, 6, 7] and found[("rare", 2)] == [9]
 
 
+def near_plain(docs, bench, terms, slop):
+    """Around every place of an item's rarest term, the smallest span (of equal ones the last) that holds its rarest terms."""
+    total, out = defaultdict(int), set()
+    for _, t in docs:
+        for w in fold(t):
+            total[w] += 1
+    for i, item in bench:
+        rare = sorted(set(fold(item)), key=lambda w: (total[w], w.encode()))[:terms]
+        for d, t in docs if rare else ():
+            w = fold(t)
+            for k in (k for k in range(len(w)) if w[k] == rare[0]):
+                spans = [(b - a, -a, a, b) for a in range(max(0, k - slop + 1), k + 1) for b in range(k + 1, min(len(w), a + slop) + 1) if set(rare) <= set(w[a:b])]
+                if spans:
+                    out.add((d, i, *min(spans)[2:]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 60])
+def test_near_matches_of_random_words(spark, block_bytes):
+    rng = np.random.default_rng(7)
+    row = lambda n: " ".join(rng.choice(list("aaabbbcccdddefgh"), n))
+    docs = spark.createDataFrame([(k, row(int(rng.integers(0, 40)))) for k in range(60)] + [(100, "p q r s other"), (101, "rare a b other")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(k, row(int(rng.integers(1, 8)))) for k in range(30)] + [(50, "rare other"), (51, "rare nowhere")], "item_id long, text string")
+    want = near_plain(texts(docs), [(r.item_id, r.text) for r in bench.collect()], 3, 6)
+    assert (101, 50, 0, 4) in want and len(want) > 100
+    got = decontaminate.near_matches(docs, bench, 3, 6, block_bytes)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_index_query_returns_proximity_and_stores_the_index(spark, sf_dir):
+    got = queries.op8_positional_index(spark, sf_dir).collect()
+    docs, bench = texts(table(spark, sf_dir, "documents")), [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
+    assert sorted((r.doc_id, m.item_id, m.begin, m.end) for r in got for m in r.near) == near_plain(docs, bench, 6, 12)
+    assert all(r.n_near == len(r.near) for r in got)
+    index = decontaminate.build(table(spark, sf_dir, "documents"))
+    assert index.agg(F.sum("documents"), F.sum("words")).first() == (len(docs), sum(len(fold(t)) for _, t in docs))
+    again = decontaminate.answer(index, table(spark, sf_dir, "benchmark")).collect()  # from the stored files alone
+    assert sorted(again, key=str) == sorted(got, key=str)
+
+
 def sets_of(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if x]
     return frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
