@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[Span]:
                 out.append((begin, 0, m.end()))
                 past = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -96,8 +96,8 @@ def _run(m: re.Match[bytes]) -> bytes:
 
 
 def shape(word: str) -> str:
-    """Letters become x, digits d, other marks stay; runs of letters and marks count once, of digits up to five."""
-    return _RUNS.sub(_run, word[:64].encode("utf-8", "surrogatepass").translate(_SHAPE)).decode("ascii")
+    """Letters become x, digits d, other marks stay, over the whole word; runs of letters and marks count once, of digits up to five."""
+    return _RUNS.sub(_run, word.encode("utf-8", "surrogatepass").translate(_SHAPE)).decode("ascii")
 
 
 _CUES = {w: k for k, line in enumerate((("at", "arobase", "(at)", "[at]"), ("dot", "(dot)", "[dot]", "punkt", "punto", "point"), ("call", "phone", "tel", "telephone", "fax", "mobile", "telefon", "téléphone", "teléfono", "dial"), ("card", "visa", "mastercard", "karte", "carte", "tarjeta"), ("mail", "email", "e-mail", "contact", "write"))) for w in line}

@@ -363,6 +363,20 @@ def test_base_patterns_on_random_strings():
             assert pii.base_spans(t) == base_plain(t), t
 
 
+def test_numbers_of_many_zeros_and_shapes_of_long_words(spark):
+    zeros = "0" * 5000
+    text = f"host {zeros}.1.1.1 and 0.{zeros}256.1.1 and {zeros}255.0.00.1 end"
+    want = [(5, 1, 5 + 5006), (text.index("255."), 1, text.index(" end"))]
+    want[1] = (want[1][0] - 5000, *want[1][1:])
+    assert [s for s in pii.base_spans(text) if s[1] == 1] == want
+    assert pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_ip == 2
+    for short in ("q(at)b(dot)cc", "q[at]b.cc", "q@b"):
+        assert pii.shape("w" * 70 + short) == pii.shape(short)
+    spans = lambda t: [(k, b - a) for a, k, b in pii.all_spans([t], pii.default_field())[0][1]]
+    for host in ("mail.host.com", "w" * 70 + ".host.com"):
+        assert spans(f"write to jane12 (at) {host} now") == [(0, 12 + len(host))]
+
+
 def test_chain_decoding_is_exact():
     model = pii.default_field()
     rng = np.random.default_rng(1)
