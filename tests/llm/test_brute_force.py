@@ -296,8 +296,8 @@ def test_near_duplicates_of_a_hot_group(spark):
             t[int(rng.integers(0, 150))] = words[int(rng.integers(0, 3000))]
         rows.append((k, " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (2, 12):
-        assert sorted((tuple(r) for r in near_dup.components(docs, small=small, block=40).collect()), key=str) == groups(rows)
+    for small, block in ((2, 40), (12, 40), (2, 1000)):
+        assert sorted((tuple(r) for r in near_dup.components(docs, small=small, block=block).collect()), key=str) == groups(rows)
 
 
 def test_survivors(spark, odd):
@@ -306,6 +306,33 @@ def test_survivors(spark, odd):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "None", "None", "7", "8", "9", "-5", "10"])
 
 
+def test_survivors_of_null_and_repeated_ids(spark):
+    """Near copies without an id, texts under one id, and repeated rows: one row of each group stays."""
+    words = [f"w{k}" for k in range(100)]
+    a, b, c = " ".join(words), " ".join([*words[:-1], "other"]), "quite another text " + " ".join(words[50:20:-1])
+    rows = [(None, a), (None, b), (None, a), (None, c), (5, b), (5, c), (5, c), (3, c), (None, None), (None, ""), (6, " "), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, _own string").repartition(3)
+    kept = near_dup.survivors(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, b), (3, c), (None, None), (None, ""), (6, " "), (6, " ")], key=str)
+
+
+@pytest.mark.parametrize("union, common", [(4, 3), (10, 7), (60, 42), (400, 280), (3000, 2100)])
+def test_sketches_of_close_sets_meet(union, common):
+    """Bands, narrow and wide sketches lose no pair at the threshold, however short the texts."""
+    rng = np.random.default_rng(union)
+    for _ in range(100):
+        u = np.sort(rng.integers(0, 2**64, union, dtype=np.uint64))
+        apart = rng.permutation(union)[common:]
+        pair = [np.delete(u, apart[: len(apart) // 2]), np.delete(u, apart[len(apart) // 2 :])]
+        n = np.array([[len(s)] for s in pair])
+        narrow, wide = near_dup.folded(near_dup.registers(pair)), near_dup.folded(near_dup.registers(pair, near_dup.WIDE))
+        keys = near_dup.band_keys(near_dup.densified(near_dup.registers(pair)))
+        assert (keys[0] == keys[1]).any()
+        assert near_dup.plausible(narrow[:1], narrow[1:], *n, 0.7).all()
+        assert len(near_dup.close(wide[:1], wide[1:], *n, np.ones((1, 1), bool), 0.7)[0]) == 1
+
+
 def test_register_estimate_is_close():
     rng = np.random.default_rng(2)
     pool = np.unique(rng.integers(0, 2**63, 6000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
@@ -316,7 +343,7 @@ def test_register_estimate_is_close():
         a = np.sort(pool[:1500])
         b = np.sort(np.concatenate([pool[:common], pool[1500 : 1500 + 1500 - common]]))
         reg = near_dup.registers([a, b])
-        e, _ = near_dup.estimate(reg[:1], reg[1:], np.array([1500]), np.array([1500]))
+        e, _, _ = near_dup.estimate(reg[:1], reg[1:], np.array([1500]), np.array([1500]))
         err.append(abs(float(e[0]) - j))
     assert max(err) < 0.15
 
