@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.operators.graph import shared_folder, written
@@ -33,6 +33,19 @@ def doc_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def sieved(df: DataFrame, key: Column, keys: DataFrame, flag: str, bits: int = 1 << 25) -> DataFrame:
+    """``df`` with a column ``flag``: false where the long ``key`` is certainly none of ``keys`` (a table of one long column).
+
+    A bitmap of ``bits`` bits, as a table of at most bits / 64 rows (8 MB), is what is broadcast, whatever the number
+    of keys; the more keys, the more rows are flagged for nothing, so the flag only spares rows a join that decides.
+    """
+    place = F.pmod(F.col(keys.columns[0]), F.lit(bits))
+    words = keys.select(F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod({keys.columns[0]}, 64) as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    rows = df.withColumn("_key", key).join(F.broadcast(words), F.shiftright(F.pmod(F.col("_key"), F.lit(bits)), 6) == F.col("_word"), "left")
+    hit = F.expr("getbit(_bits, cast(pmod(_key, 64) as int)) = 1")
+    return rows.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_key", "_word", "_bits")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the bytes of one text column stay near ``most``."""
     for batch in batches:
@@ -47,6 +60,6 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             n = n or 0
             if held and held + n > most:
                 yield batch.slice(start, i - start)
-                start, held = i, 0
+                    start, held = i, 0
             held += n
         yield batch.slice(start)

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import chunks, doc_columns
+from refrain.llm.common import chunks, doc_columns, sieved
 from refrain.operators.graph import Scratch, connected_components
 
 REGISTERS, WIDE, MANTISSA, ROWS_PER_BAND = 120, 960, 10, 3
@@ -400,12 +400,13 @@ def _grouped(docs: DataFrame, percent: int, small: int, block: int) -> tuple[Dat
     pairs = held.table("pairs", _pruned(found.where("kind = 0").select("a", "b").distinct(), folds, threshold))
     held.drop("folds")
 
-    # Texts of the nodes that may be compared: one scan, one shuffle, kept for both rounds.
+    # Texts of the nodes that may be compared: one scan, kept for both rounds; most other texts are spared the shuffle.
     large = held.table("large", found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node")))
     need = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("large")).union(large.select("node", F.lit(True))).groupBy("node").agg(F.max("large").alias("large"))
-    who = reps.select("node", "rep", "digest").join(need, "node")
-    texts = held.table("texts", docs.join(who, docs.doc_id.eqNullSafe(who.rep)).select("digest", "text", "node", "large").mapInArrow(_own_text, "node long, text binary, wide binary").dropDuplicates(["node"]))
-    held.drop("found")
+    who = held.table("who", reps.select("node", "rep", "digest").join(need, "node"))
+    wanted = sieved(docs, F.xxhash64("doc_id"), who.select(F.xxhash64("rep").alias("rep")), "_maybe").where("_maybe")
+    texts = held.table("texts", wanted.join(who, wanted.doc_id.eqNullSafe(who.rep)).select("digest", "text", "node", "large").mapInArrow(_own_text, "node long, text binary, wide binary").dropDuplicates(["node"]))
+    held.drop("found", "who")
 
     links = held.table("links", _linked(pairs, texts, percent))
     if not large.isEmpty():
@@ -442,11 +443,14 @@ def survivors(docs: DataFrame, percent: int = 70, small: int = 12, block: int =
     own = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.text_id") == F.col("text_id"))
     fate = each.join(least, "component").select(F.col("doc_id").alias("_of"), F.col("text_id").alias("_as"), own.alias("_own"), "n").where("not _own or n > 1").drop("n")
     fate = held.table("fate", fate)
-    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_as"))
-    out = docs.join(fate, met, "left_anti")
+    name = F.xxhash64(F.col("text").cast("string"))
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (name == F.col("_as"))
+    flagged = sieved(docs, F.xxhash64(F.col("doc_id").cast("long"), name), fate.select(F.xxhash64("_of", "_as").alias("_hash")), "_maybe")
+    maybe = flagged.where("_maybe").drop("_maybe")
+    out = flagged.where("not _maybe").drop("_maybe").unionByName(maybe.join(fate, met, "left_anti"))
     repeated = fate.where("_own")
     if not repeated.isEmpty():  # rows equal in id and text: one of them
-        again = docs.join(repeated, met, "left_semi").withColumn("_as", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_as"]).drop("_as")
+        again = maybe.join(repeated, met, "left_semi").withColumn("_as", name).dropDuplicates(["doc_id", "_as"]).drop("_as")
         out = out.unionByName(again)
     held.drop("grouped")
     return out
