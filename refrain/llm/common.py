@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +47,15 @@ def sieved(df: DataFrame, key: Column, keys: DataFrame, flag: str, bits: int = 1
     return rows.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_key", "_word", "_bits")
 
 
+def release() -> None:
+    """Give memory that is free again back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the bytes of one text column stay near ``most``."""
     for batch in batches:
@@ -54,12 +64,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         col = batch.column(batch.schema.get_field_index(column))
         if col.nbytes <= most:
             yield batch
+            release()
             continue
         start, held = 0, 0
         for i, n in enumerate(pa.compute.binary_length(col).to_pylist()):
             n = n or 0
             if held and held + n > most:
                 yield batch.slice(start, i - start)
-                    start, held = i, 0
+                release()
+                start, held = i, 0
             held += n
         yield batch.slice(start)
+        del col, batch
+        release()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from refrain.llm.common import chunks, doc_columns
 
 #: Text decoded at once, and words remembered by a worker: both bound memory only.
-_CHUNK, _MEMO = 4 << 20, 150_000
+_CHUNK, _MEMO = 2 << 20, 150_000
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from refrain.llm.common import release
+
 #: Distinct chunks memoised by a Python worker before the memo starts anew; affects speed only.
 MEMO = 200_000
 #: Chunks beyond this length are encoded but not memoised.
@@ -55,6 +57,8 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         ids.append(vocab[token])
     fast = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
     id_of = np.array(ids, "<u4")
+    del spec, vocab, ranks, ids
+    release()
 
     def encode(words: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(words)
