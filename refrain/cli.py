@@ -66,10 +66,10 @@ def parser() -> argparse.ArgumentParser:
 def configure(args: list[str], preset: str = "reuse") -> tuple[ReuseConfig, str, str]:
     """Settings, input and output; the preset ``allpairs`` compares every pair of different series."""
     if preset == "allpairs":
-        args = ["--all-pairs", "--filterpairs", "gid < gid2", *args, "--fields", "xxhash64(series) as gid"] if "--fields" not in args else ["--all-pairs", "--filterpairs", "gid < gid2", *args]
+        args = ["--all-pairs", "--filterpairs", "gid < gid2", *args]
     found = vars(parser().parse_args(args))
     source, target = found.pop("inputPath"), found.pop("outputPath")
-    found["fields"] = tuple(found["fields"])
+    found["fields"] = tuple(found["fields"]) or (("xxhash64(series) as gid",) if preset == "allpairs" else ())
     return ReuseConfig(**found), source, target
 
 

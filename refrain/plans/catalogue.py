@@ -197,20 +197,27 @@ def target_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("uid", "begin", "begin2", F.col("alg2").alias("line"), F.length("alg").alias("width"))
 
 
-_LOCS = "transform(sequence(0, cast(length(text) div 100 as int)), i -> struct(cast(i as string) as loc, i * 100 as start, 90 as length))"
-_REGIONS = "transform(sequence(0, cast(length(text) div 100 as int)), i -> struct(bigint(i * 100) as start, bigint(90) as length, struct(bigint(i % 7) as x, bigint(i div 7) as y, bigint(10 + i % 3) as w, bigint(5) as h, bigint(0) as b) as coords))"
+_LOCS = "transform(sequence(0, cast(size div 100 as int)), i -> struct(cast(i as string) as loc, i * 100 as start, 90 as length))"
+_REGIONS = "transform(sequence(0, cast(size div 100 as int)), i -> struct(bigint(i * 100) as start, bigint(90) as length, struct(bigint(i % 7) as x, bigint(i div 7) as y, bigint(10 + i % 3) as w, bigint(5) as h, bigint(0) as b) as coords))"
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text as a passage: uid, size (of the text), begin, end, line."""
+    rows = _docs(spark, sf_dir).select("uid", F.length("text").alias("size"), F.inline(tx.text_lines(F.col("text"))))
+    return rows.select("uid", "size", "begin", (F.col("begin") + F.length("text")).alias("end"), F.col("text").alias("line"))
 
 
 def loc_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("uid", F.explode(F.transform(locations.overlapping(F.expr(_LOCS), F.lit(150), F.lit(420)), lambda x: x["loc"])).alias("loc"))
+    found = F.transform(locations.overlapping(F.expr(_LOCS), F.col("begin"), F.col("end")), lambda x: x["loc"])
+    return _passages(spark, sf_dir).select("uid", "begin", F.explode(found).alias("loc"))
 
 
 def loc_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("uid", F.explode(locations.slice_locs(F.lit(150), F.lit(420), F.expr(_LOCS))).alias("loc"))
+    return _passages(spark, sf_dir).select("uid", "begin", F.explode(locations.slice_locs(F.col("begin"), F.col("end"), F.expr(_LOCS))).alias("loc"))
 
 
 def line_locs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("uid", F.explode(lines.line_locs(F.lit(190), F.substring("text", 1, 60), F.expr(_LOCS))).alias("loc"))
+    return _passages(spark, sf_dir).select("uid", "begin", F.explode(lines.line_locs(F.col("begin"), F.col("line"), F.expr(_LOCS))).alias("loc"))
 
 
 def _box(page: Column) -> list[Column]:
@@ -220,19 +227,21 @@ def _box(page: Column) -> list[Column]:
 
 def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = "array(struct(1L as seq, slice(r, 1, 3) as regions), struct(2L as seq, slice(r, 4, 1000000) as regions))"
-    return _docs(spark, sf_dir).withColumn("r", F.expr(_REGIONS)).select("uid", F.length("text").alias("size"), F.expr(page).alias("pages"))
+    return _docs(spark, sf_dir).select("uid", F.length("text").alias("size")).withColumn("r", F.expr(_REGIONS)).select("uid", F.expr(page).alias("pages"))
 
 
 def region_overlap_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of the regions that the first thousand characters from 150 on overlap."""
-    p = locations.clip_pages(F.col("pages"), ["seq"], F.lit(150), F.lit(1150))
-    return _paged(spark, sf_dir).select("uid", F.explode(p).alias("p")).select("uid", *_box(F.col("p")))
+    """Boxes of the regions that every line overlaps."""
+    p = locations.clip_pages(F.col("pages"), ["seq"], F.col("begin"), F.col("end"))
+    rows = _passages(spark, sf_dir).select("uid", "begin", "end").join(_paged(spark, sf_dir), "uid")
+    return rows.select("uid", "begin", F.explode(p).alias("p")).select("uid", "begin", *_box(F.col("p")))
 
 
 def region_contained_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = _paged(spark, sf_dir)
-    rows = locations.pass_regions(corpus.select("uid"), corpus, "pages", "page", "uid", F.lit(150), F.lit(1150))
-    return rows.where("page is not null").select("uid", *_box(F.col("page")[0]))
+    """Boxes of the regions that lie between every line's start and the end of its text."""
+    passages = _passages(spark, sf_dir).select("uid", "begin", F.col("size").alias("end"))
+    rows = locations.pass_regions(passages, _paged(spark, sf_dir), "pages", "page", "uid", F.col("begin"), F.col("end"))
+    return rows.where("page is not null").select("uid", "begin", *_box(F.col("page")[0]))
 
 
 def format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,9 +342,12 @@ alone AS (SELECT * FROM s1 WHERE NOT EXISTS (SELECT 1 FROM sourced s WHERE s.uid
 ranked AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY e - b DESC, b, e) AS r FROM alone),
 nearest AS (SELECT d.uid, d.b, d.e, s.b AS b2, s.e AS e2 FROM ranked d JOIN ranked s ON s.uid = d.uid AND s.r < d.r AND s.b < d.e AND d.b < s.e AND (least(d.e, s.e) - greatest(d.b, s.b)) / (d.e - d.b) >= {CFG.src_overlap} QUALIFY row_number() OVER (PARTITION BY d.uid, d.b, d.e ORDER BY s.r DESC) = 1),
 links AS (SELECT * FROM sourced UNION ALL SELECT * FROM nearest)"""
-_SQL_LOCS = "spots AS (SELECT doc_id AS uid, text, unnest(range(0, length(text) // 100 + 1)) AS i FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"
 _SQL_BOX = "min(i * 100) AS start, max(i * 100 + 90) - min(i * 100) AS length, min(i % 7) AS x, min(i // 7) AS y, max(i % 7 + 10 + i % 3) - min(i % 7) AS w, max(i // 7 + 5) - min(i // 7) AS h"
 _LINE_RE = r"[^\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}])|[^\n\x0b\x0c\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]+"
+_SQL_SPANS = f"""cut AS (SELECT doc_id AS uid, length(text) AS size, regexp_extract_all(text, '{_LINE_RE}') AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+each_line AS (SELECT uid, size, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM cut),
+spans AS (SELECT uid, size, line, CAST(sum(length(line)) OVER w - length(line) AS INT) AS "begin", CAST(sum(length(line)) OVER w AS INT) AS past FROM each_line WINDOW w AS (PARTITION BY uid ORDER BY k)),
+met AS (SELECT *, unnest(range(0, size // 100 + 1)) AS i FROM spans)"""
 
 ORACLES: dict[str, str] = {
     "postings": f"WITH {_SQL_POSTS} SELECT uid, feat, post FROM posts",
@@ -383,10 +395,10 @@ SELECT d.doc_id AS uid, CAST(coalesce(m.n, 0) AS INT) AS matches FROM documents
 u AS (SELECT uid, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM l),
 o AS (SELECT uid, k, line, sum(length(line)) OVER w - length(line) AS o1, sum(length(replace(line, '-', ''))) OVER w - length(replace(line, '-', '')) AS o2 FROM u WINDOW w AS (PARTITION BY uid ORDER BY k))
 SELECT uid, CAST(greatest(o1 - 10, 0) AS INT) AS "begin", CAST(5 + o2 AS INT) AS begin2, line, CAST(length(line) AS INT) AS width FROM o""",
-    "loc_overlap": f"WITH {_SQL_LOCS} SELECT uid, CAST(i AS VARCHAR) AS loc FROM spots WHERE i * 100 < 420 AND i * 100 + 90 > 150",
-    "loc_slice": f"WITH {_SQL_LOCS} SELECT uid, CAST(i AS VARCHAR) AS loc FROM spots WHERE i BETWEEN least(1, length(text) // 100) AND 4",
-    "line_locs": f"WITH {_SQL_LOCS} SELECT uid, CAST(i AS VARCHAR) AS loc FROM spots WHERE i * 100 < 190 + length(replace(substring(text, 1, 60), '-', '')) AND i * 100 + 90 > 190",
-    "region_overlap_boxes": f"WITH {_SQL_LOCS} SELECT uid, CASE WHEN i < 3 THEN 1 ELSE 2 END AS seq, {_SQL_BOX} FROM spots WHERE i * 100 < 1150 AND i * 100 + 90 > 150 GROUP BY ALL",
-    "region_contained_boxes": f"WITH {_SQL_LOCS} SELECT uid, CASE WHEN i < 3 THEN 1 ELSE 2 END AS seq, {_SQL_BOX} FROM spots WHERE i * 100 >= 150 AND i * 100 + 90 <= 1150 GROUP BY ALL",
+    "loc_overlap": f'WITH {_SQL_SPANS} SELECT uid, "begin", CAST(i AS VARCHAR) AS loc FROM met WHERE i * 100 < past AND i * 100 + 90 > "begin"',
+    "loc_slice": f'WITH {_SQL_SPANS} SELECT uid, "begin", CAST(i AS VARCHAR) AS loc FROM met WHERE i = "begin" // 100 OR (i > "begin" // 100 AND (i - 1) * 100 + 90 < past)',
+    "line_locs": f"""WITH {_SQL_SPANS} SELECT uid, "begin", CAST(i AS VARCHAR) AS loc FROM met WHERE i * 100 < "begin" + length(replace(line, '-', '')) AND i * 100 + 90 > "begin\"""",
+    "region_overlap_boxes": f'WITH {_SQL_SPANS} SELECT uid, "begin", CASE WHEN i < 3 THEN 1 ELSE 2 END AS seq, {_SQL_BOX} FROM met WHERE i * 100 < past AND i * 100 + 90 > "begin" GROUP BY ALL',
+    "region_contained_boxes": f'WITH {_SQL_SPANS} SELECT uid, "begin", CASE WHEN i < 3 THEN 1 ELSE 2 END AS seq, {_SQL_BOX} FROM met WHERE i * 100 >= "begin" AND i * 100 + 90 <= size GROUP BY ALL',
     "format_round_trip": "SELECT c_custkey, c_name, c_nationkey, CAST(4 AS BIGINT) AS copies FROM customer",
 }

@@ -1,6 +1,7 @@
 """The text-reuse engine: kernels on hand-made cases, operators, whole runs and their invariants."""
 
 import json
+import shutil
 from dataclasses import replace
 
 import numpy as np
@@ -117,6 +118,36 @@ def test_alignment_is_optimal(beam):
         assert cost == pytest.approx(edit_cost(s1.replace("-", "‐"), s2.replace("-", "‐"), c))
 
 
+def plain_edge(s1, s2, c, complete_lines, floating):
+    """The cheapest place to stop, over the whole table of offsets."""
+    cost = np.full((len(s1) + 1, len(s2) + 1), np.inf)
+    cost[0, 0], best = 0, (np.inf, 0, 0)
+    for j in range(len(s2) + 1):
+        for i in range(len(s1) + 1):
+            if i:
+                cost[i, j] = min(cost[i, j], cost[i - 1, j] + c.edit)
+            if j:
+                cost[i, j] = min(cost[i, j], cost[i, j - 1] + c.edit)
+            if i and j and (d := align._diagonal(s1[i - 1], s2[j - 1], c)) is not None:
+                cost[i, j] = min(cost[i, j], cost[i - 1, j - 1] + d)
+            if align._may_finish(s2, j, complete_lines, floating):
+                best = min(best, (cost[i, j] + c.finish + c.pad * (len(s2) - j), j, i))
+    return best[0]
+
+
+def test_edges_are_optimal_under_a_wide_beam():
+    rng, c = np.random.default_rng(2), align.Costs(0.8)
+    for k in range(120):
+        s1, s2 = ("".join(rng.choice(list("abc D\n"), rng.integers(0, 14))) for _ in range(2))
+        if k % 2:
+            s2 = s1[:6] + s2
+        for lines_, floating in ((False, False), (True, False), (False, True)):
+            i, j = align._edge_beam(s1, s2, c, 400, lines_, floating)
+            best = plain_edge(s1, s2, c, lines_, floating)
+            head = edit_cost(s1[:i], s2[:j], c)
+            assert (i, j) == (0, 0) and best == np.inf or abs(head + c.finish + c.pad * (len(s2) - j) - best) < 1e-9
+
+
 def test_alignment_edges():
     assert align.align_edge("the same wordsX", "the same words. And", False)[1].startswith("the same words")
     assert all(a.endswith("one two") for a in align.align_edge("xx one two", "yyyyyy yy one two", True))
@@ -342,6 +373,26 @@ def test_run_keeps_stages(spark, poems, tmp_path):
     assert "alg2" in spark.read.json(f"{tmp_path}/l/out.json").columns
 
 
+def test_shards_are_stages(spark, poems, tmp_path):
+    """Each shard of targets is written by itself: one that was lost is made again alone, and all give the whole."""
+    src, out = f"{tmp_path}/in.json", f"{tmp_path}/out"
+    poems.write.json(src)
+    cfg = ReuseConfig(n=15, shards=3, to_pairs=True)
+    assert run(spark, src, out, cfg) == ["dfpost", "pairs-0", "pairs-1", "pairs-2"]
+    (lost,) = tmp_path.rglob("pairs-1-*.parquet")
+    shutil.rmtree(lost)
+    assert run(spark, src, out, cfg) == ["pairs-1"]
+    whole = sorted(r.uid2 for r in job(poems).pairs().collect())
+    assert whole and sorted(r.uid2 for r in job(poems, shards=3).pairs().collect()) == whole
+
+
+def test_allpairs_preset_keeps_given_fields():
+    for given in (["--fields", "a as gid"], ["--fields=a as gid"], ["--field", "a as gid"]):
+        assert cli.configure(["in", "out", *given], "allpairs")[0].fields == ("a as gid",)
+    cfg = cli.configure(["in", "out"], "allpairs")[0]
+    assert (cfg.fields, cfg.all_pairs, cfg.filterpairs) == (("xxhash64(series) as gid",), True, "gid < gid2")
+
+
 def test_other_text_column(poems):
     out = job(poems.withColumnRenamed("text", "body"), text="body").output()
     assert "body" in out.columns and "text" not in out.columns and out.count() >= 3
