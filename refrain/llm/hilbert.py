@@ -1,6 +1,7 @@
 """Operator 3: Hilbert-curve sharding: near rows in metadata space land in one shard, shards differ by one row at most.
 
-Several metadata dimensions are quantised at quantiles of the whole table, the cell's index along a Hilbert curve
+Several metadata dimensions are quantised at quantiles of the whole table (strings as whole strings, in byte order,
+from the counts of their distinct values), the cell's index along a Hilbert curve
 gives the order, and the order is cut into runs of equal row counts (the ``rows`` law). A cell that holds a third
 of all rows is no single task: its rows are spread by hash over sub-cells of about 1 / ``parts`` of all rows, and
 a row's place is the count of all rows in earlier sub-cells plus its rank in its own, by checksum of the text,
@@ -17,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refrain.llm.common import stored
 
-_ROWS = "doc_id long, size long, text_crc32 long, k0 long, k1 long, k2 long"
+_ROWS = "doc_id long, size long, text_crc32 long, lang string, source string"
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -53,9 +54,35 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _leading(values: pa.Array) -> np.ndarray:
-    """The first 7 bytes of each string as a number that keeps byte order; null is -1."""
-    return np.array([-1 if v is None else int.from_bytes(v[:7].ljust(7, b"\0"), "big") for v in values.cast(pa.binary()).to_pylist()], np.int64)
+def string_cuts(values: DataFrame, steps: int) -> list[tuple[str, int, int]]:
+    """Values of (value string, n long) that hold quantiles k / steps of the n, in byte order, with the quantiles below and in each.
+
+    Distinct values are range-partitioned and counted up within the partitions; only partition sums and the cuts
+    themselves, at most ``steps``, reach the driver.
+    """
+    spark = values.sparkSession
+    ranged = stored(values.where("value is not null").repartitionByRange("value").withColumn("part", F.spark_partition_id()), spark)
+    ahead, total = [], 0
+    for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        ahead.append((r.part, total))
+        total += r.n
+    if not total:
+        return []
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value")) + F.col("ahead")
+    step = lambda rows: F.floor(rows.cast("decimal(38,0)") * steps / total).cast("int")
+    placed = ranged.join(F.broadcast(spark.createDataFrame(ahead, "part int, ahead long")), "part").withColumn("upto", upto)
+    placed = placed.select("value", step(F.col("upto") - F.col("n")).alias("below"), step(F.col("upto")).alias("past")).where("past > below")
+    return sorted(((r.value, r.below, r.past - r.below) for r in placed.collect()), key=lambda c: c[1])
+
+
+def string_cell(value: Column, cuts: list[tuple[str, int, int]], steps: int) -> Column:
+    """A value's place among the quantiles, so that few distinct values spread over all cells; null is in cell 0."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    cell = F
+    for name, below, own in reversed(cuts):
+        cell = cell.when(value > name, min(below + own, steps - 1)).when(value == name, min(below + own // 2, steps - 1))
+    return F.coalesce(cell.otherwise(0), F.lit(0)).cast("long")
 
 
 def shard(docs: DataFrame, shards: int = 8, bits: int = 5, parts: int = 4096) -> DataFrame:
@@ -68,22 +95,23 @@ def shard(docs: DataFrame, shards: int = 8, bits: int = 5, parts: int = 4096) ->
             size = pa.compute.fill_null(pa.compute.binary_length(texts), 0)
             crc = [zlib.crc32(t.as_buffer()) if t.is_valid else 0 for t in texts]
             size = np.asarray(size, np.int64) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(crc, pa.int64()), pa.array(_leading(batch.column(2))), pa.array(_leading(batch.column(3))), pa.array(size)], names=[c.split()[0] for c in _ROWS.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(crc, pa.int64()), batch.column(2), batch.column(3)], names=[c.split()[0] for c in _ROWS.split(", ")])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     rows = stored(narrow.mapInArrow(measure, _ROWS), spark)
     steps = 1 << bits
-    cuts = rows.agg(*[F.percentile_approx(f"k{i}", [k / steps for k in range(1, steps)], 10_000).alias(f"k{i}") for i in range(3)]).first()
-    edges = [np.array(sorted(set(cuts[i] or [])), np.int64) for i in range(3)]
+    strings = [string_cuts(rows.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")), steps) for c in ("lang", "source")]
+    sizes = rows.agg(F.percentile_approx("size", [k / steps for k in range(1, steps)], 10_000)).first()[0]
+    edges = np.array(sizes or [], np.int64)
 
     @F.pandas_udf("long")
-    def along(k0, k1, k2):  # noqa: ANN001, ANN202
+    def along(lang, source, size):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        cells = np.stack([np.searchsorted(e, k, "left") for e, k in zip(edges, (k0, k1, k2))], axis=1)
-        return pd.Series(hilbert_index(cells, bits))
+        middle = (np.searchsorted(edges, size, "left") + np.searchsorted(edges, size, "right")) // 2
+        return pd.Series(hilbert_index(np.stack([lang, source, middle], axis=1), bits))
 
-    placed = stored(rows.select("doc_id", "size", "text_crc32", along("k0", "k1", "k2").alias("curve"), F.monotonically_increasing_id().alias("row")), spark)
+    placed = stored(rows.select("doc_id", "size", "text_crc32", along(string_cell(F.col("lang"), strings[0], steps), string_cell(F.col("source"), strings[1], steps), "size").alias("curve"), F.monotonically_increasing_id().alias("row")), spark)
     total = placed.count()
     cells = placed.groupBy("curve").count().select("curve", F.ceil(F.col("count") * parts / max(total, 1)).alias("subs"))  # at most 2^(3 bits) rows
     placed = placed.join(F.broadcast(cells), "curve").withColumn("sub", F.pmod(F.xxhash64("row"), F.col("subs")))
