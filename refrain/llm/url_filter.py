@@ -4,7 +4,8 @@ A rule is a host and a path prefix; it fits its host and all subdomains where th
 path, and the longest fitting rule decides. Other urls are judged by trees over lexical features: lengths, depth,
 digit ratio, entropy, parameter counts, and statistics of the host's last label. The trees are fitted here to
 labelled urls: by default a bounded sample (``most`` rows, by hash of the url) of the urls that a rule decides,
-with the rule's verdict as label. Suffix statistics are counts and smoothed shares of blocked urls in that sample.
+with the rule's verdict as label. The count of a suffix is taken over all pages; the smoothed shares of blocked urls by
+suffix and by first path segment come from the sample, for each of its rows from the other four of five folds.
 
 Cases: null urls and urls without ``://`` have an empty host and path, fit no rule and are judged by the trees on
 empty features; without labelled urls of both kinds the verdict is the one kind there is, or allow; repeated
@@ -13,11 +14,11 @@ rows give equal rows; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,19 +48,18 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return name, verdict
 
 
-def features(urls: list[str | None], hosts: list[str], paths: list[str], counts: dict[str, int], blocked: dict[str, float], segments: dict[str, float]) -> np.ndarray:
-    """One row of ``FEATURES`` per url."""
+def features(urls: list[str | None], hosts: list[str], paths: list[str], counts: list[int], blocked: list[float], segments: list[float]) -> np.ndarray:
+    """One row of ``FEATURES`` per url; counts, blocked and segments are the statistics of its suffix and first segment."""
     rows = []
-    for url, host, path in zip(urls, hosts, paths):
+    for url, host, path, count, block, segment in zip(urls, hosts, paths, counts, blocked, segments):
         url = url or ""
         n = len(url)
         letters = Counter(url)
         entropy = -sum(c / n * np.log2(c / n) for c in letters.values()) if n else 0.0
-        suffix = host.rpartition(".")[2]
         parts = [p for p in path.split("/") if p]
         digits = lambda s: sum(c.isdigit() for c in s) / max(1, len(s))
         query = url.partition("?")[2].partition("#")[0]
-        rows.append((n, len(host), len(path), len(parts), host.count("."), digits(url), digits(path), entropy, query.count("="), query.count("&"), url.count("-"), sum(host.count(v) for v in "aeiou") / max(1, len(host)), url.startswith("https"), "#" in url, np.log1p(counts.get(suffix, 0)), blocked.get(suffix, 0.5), segments.get(parts[0] if parts else "", 0.5), "." in (parts[-1] if parts else "")))
+        rows.append((n, len(host), len(path), len(parts), host.count("."), digits(url), digits(path), entropy, query.count("="), query.count("&"), url.count("-"), sum(host.count(v) for v in "aeiou") / max(1, len(host)), url.startswith("https"), "#" in url, np.log1p(count), block, segment, "." in (parts[-1] if parts else "")))
     return np.array(rows, float).reshape(len(rows), len(FEATURES))
 
 
@@ -123,6 +123,20 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: f
     return Trees(start, *(np.array(o) for o in out))
 
 
+def first_segment(path: str) -> str:
+    return next((p for p in path.split("/") if p), "")
+
+
+def shares(keys: list[str], y: np.ndarray, use: np.ndarray, weight: float = 20.0) -> tuple[dict[str, float], float]:
+    """Shares of label 1 by key over the rows in use, drawn towards their mean, and that mean."""
+    mean = float(y[use].mean()) if use.any() else 0.5
+    n, ones = Counter(), Counter()
+    for i in np.flatnonzero(use).tolist():
+        n[keys[i]] += 1
+        ones[keys[i]] += y[i]
+    return {k: float((ones[k] + weight * mean) / (c + weight)) for k, c in n.items()}, mean
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, most: int = 20_000, labelled: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every page.
 
@@ -138,19 +152,28 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, most: in
     else:
         h, p = host_and_path(F.col("url"))
         train = labelled.where("url is not null and blocked in (0, 1)").select("url", h.alias("host"), p.alias("path"), "blocked")
-    sample = train.distinct().orderBy(F.xxhash64("url"), "url").limit(most).toPandas()
+    # How many pages have a suffix, over all of them; Spark picks the join by the table's size.
+    suffix = F.substring_index("host", ".", -1)
+    common = rows.groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("count"))
+    counted = lambda df: df.withColumn("suffix", suffix).join(common, "suffix", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    sample = counted(train.distinct().orderBy(F.xxhash64("url"), "url", "blocked").limit(most)).toPandas().sort_values(["url", "blocked"], ignore_index=True)
     y = sample["blocked"].to_numpy().astype(float)
-    suffix = sample["host"].str.rpartition(".")[2] if len(sample) else pd.Series([], dtype=str)
-    first = sample["path"].str.strip("/").str.partition("/")[0] if len(sample) else pd.Series([], dtype=str)
-    mean = float(y.mean()) if len(y) else 0.0
-    counts = suffix.value_counts().to_dict()
-    share = lambda key: {k: float((v.sum() + 20 * mean) / (len(v) + 20)) for k, v in pd.Series(y, index=sample.index).groupby(key)}
-    blocked, segments = (share(suffix), share(first)) if len(sample) else ({}, {})
-    model = boost(features(sample["url"].tolist(), sample["host"].tolist(), sample["path"].tolist(), counts, blocked, segments), y)
+    keys = [sample["suffix"].tolist(), [first_segment(p) for p in sample["path"]]]
+    fold = np.array([zlib.crc32(u.encode()) % 5 for u in sample["url"]], np.int64)
+    unseen = [np.zeros(len(y)), np.zeros(len(y))]
+    for f in range(5):
+        there = np.flatnonzero(fold == f)
+        for out, key in zip(unseen, keys):
+            known, mean = shares(key, y, fold != f)
+            out[there] = [known.get(key[i], mean) for i in there]
+    model = boost(features(sample["url"].tolist(), sample["host"].tolist(), sample["path"].tolist(), sample["count"].tolist(), *unseen), y)
+    (blocked, mean), (segments, _) = (shares(key, y, fold >= 0) for key in keys)
 
     @F.arrow_udf("double")
-    def score(url: pa.Array, host: pa.Array, path: pa.Array) -> pa.Array:
-        return pa.array(model.score(features(url.to_pylist(), host.to_pylist(), path.to_pylist(), counts, blocked, segments)))
+    def score(url: pa.Array, host: pa.Array, path: pa.Array, count: pa.Array) -> pa.Array:
+        hosts, paths = host.to_pylist(), path.to_pylist()
+        known = [blocked.get(h.rpartition(".")[2], mean) for h in hosts], [segments.get(first_segment(p), mean) for p in paths]
+        return pa.array(model.score(features(url.to_pylist(), hosts, paths, count.to_pylist(), *known)))
 
-    judged = rows.withColumn("score", score("url", "host", "path"))
+    judged = counted(rows).withColumn("score", score("url", "host", "path", "count"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
