@@ -1,11 +1,16 @@
 """Operator 7: approximate nearest neighbours on robust-pruned directed graphs, one per shard.
 
-Vectors are hashed into shards of at most about ``shard_rows`` distinct vectors. In a shard, nodes are inserted
-in batches: a greedy search from the medoid proposes neighbours, relaxed distance pruning (factor ``alpha``)
-keeps a diverse set of at most ``degree`` out-edges, and reverse edges are added and pruned alike. Queries run a
-beam search of width ``beam`` in every shard; the best of all shards are ranked by their inner product in double
-precision on the original vectors. Largest inner product is nearest distance after one coordinate is added that
-makes all stored vectors equally long, so graphs are built in that space.
+Vectors are hashed into shards of at most about ``shard_rows`` distinct vectors. In a shard, vectors fall into bands
+of almost equal length (``ratio``), as a graph over vectors of very unequal lengths can't be walked by inner product.
+Each band has a graph over its directions: nodes are inserted in batches, a greedy search from the medoid proposes
+neighbours, relaxed distance pruning (factor ``alpha``) keeps a diverse set of at most ``degree`` out-edges, and
+reverse edges are added and pruned alike. Queries run a beam search in the bands of every shard, longest vectors
+first, until no vector of a band can come among the best by its length; what is found is ranked by inner product in
+double precision on the original vectors.
+
+The beam starts at ``beam``. When a band's graph is built, up to 64 of the shard's vectors are searched and compared
+with all of the band; the beam is doubled, up to four times its width, until 0.96 of their neighbours are found, and a
+band where that doesn't suffice, or that is hardly larger than the beam, is compared as a whole.
 
 Equal vectors share one node that lists its ids, so a large group of copies costs one node; of a node no more ids
 than can be returned are ever needed, the least ones. Shards and query blocks are files in the shared folder; a
@@ -48,14 +53,13 @@ class Graph:
         self.start = int(np.argmin(self._distance(self.points.mean(0, dtype=np.float64).astype(np.float32)))) if n else 0
         self.edges = np.full((n, degree), -1, np.int32)
         rng = np.random.default_rng(seed)
-        for relax in (1.0, alpha) if n < 4096 else (alpha,):
-            order = rng.permutation(n)
-            done, size = 0, 16
-            while done < n:
-                part = order[done : done + size]
-                self._insert(part, width, relax)
-                done += len(part)
-                size = min(512, max(16, done // 8))
+        order = rng.permutation(n)
+        done, size = 0, 16
+        while done < n:
+            part = order[done : done + size]
+            self._insert(part, width, alpha)
+            done += len(part)
+            size = min(512, max(16, done // 8))
 
     def _distance(self, q: np.ndarray) -> np.ndarray:
         return self.norms - 2 * (self.points @ q)
@@ -167,6 +171,81 @@ class Graph:
         return np.take_along_axis(beam, order, 1), np.take_along_axis(dist, order, 1), steps
 
 
+class Bands:
+    """The vectors of a shard by length, longest first, with a graph per band (or none, where a band is compared as a whole)."""
+
+    def __init__(self, points: np.ndarray, k: int, ratio: float, degree: int, width: int, beam: int):
+        """``points`` are sorted by falling length."""
+        length = np.sqrt((points**2).sum(1))
+        bounds = [0]
+        while bounds[-1] < len(points):
+            bounds.append(int(np.searchsorted(-length, -length[bounds[-1]] / ratio, "right")))
+        self.points, self.top, self.bounds = points, length[bounds[:-1]], bounds
+        asked = points[:: max(1, len(points) // 64)]
+        self.graphs, self.beams = [], []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            graph, best = None, b - a
+            if best > 2 * beam:
+                graph = Graph(_directions(points[a:b]), degree, width)
+                fit = [w for w in (beam, 2 * beam, 4 * beam) if w < best]
+                best = next((w for w in fit if _recall(graph, points[a:b], asked, k, w) >= 0.96), best)
+            self.graphs.append(graph if best < b - a else None)
+            self.beams.append(best)
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What a file keeps."""
+        edges = [g.edges for g in self.graphs if g]
+        return {"points": self.points, "top": self.top, "bounds": np.array(self.bounds), "beams": np.array(self.beams), "starts": np.array([g.start if g else -1 for g in self.graphs]), "edges": np.concatenate(edges) if edges else np.zeros((0, 1), np.int32)}
+
+    @classmethod
+    def opened(cls, held: dict[str, np.ndarray]) -> Bands:
+        out, at = cls.__new__(cls), 0
+        out.points, out.top, out.bounds, out.beams, out.graphs = held["points"], held["top"], held["bounds"].tolist(), held["beams"].tolist(), []
+        for a, b, start in zip(out.bounds[:-1], out.bounds[1:], held["starts"].tolist()):
+            out.graphs.append(None if start < 0 else Graph(_directions(out.points[a:b]), held["edges"].shape[1], edges=held["edges"][at : at + b - a], start=start))
+            at += (b - a) * (start >= 0)
+        return out
+
+    def search(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """Per query the nodes found that have one of its k greatest inner products, or tie with them but for rounding."""
+        size = np.sqrt((queries**2).sum(1))
+        flat, margin = _directions(queries), 1e-9 * size * (self.top[0] if len(self.top) else 0)
+        best = np.full((len(queries), k), -np.inf)
+        nodes: list[list[np.ndarray]] = [[] for _ in queries]
+        scores: list[list[np.ndarray]] = [[] for _ in queries]
+        for a, b, top, graph, beam in zip(self.bounds[:-1], self.bounds[1:], self.top, self.graphs, self.beams):
+            act = np.flatnonzero(size * top >= best[:, 0] - margin)
+            if not len(act):
+                break
+            if graph is None:
+                near, score = np.broadcast_to(np.arange(b - a), (len(act), b - a)), queries[act] @ self.points[a:b].T
+            else:
+                near, _, _ = graph.search(flat[act], beam)
+                score = np.where(near >= 0, np.einsum("qnd,qd->qn", self.points[a + near], queries[act]), -np.inf)
+            best[act] = np.partition(np.concatenate([best[act], score], axis=1), score.shape[1], axis=1)[:, -k:]
+            best[act] = np.sort(best[act], axis=1)
+            for i, q in enumerate(act.tolist()):
+                good = np.flatnonzero((score[i] >= best[q, 0] - margin[q]) & (score[i] > -np.inf))
+                nodes[q].append(a + near[i, good])
+                scores[q].append(score[i, good])
+        none = np.zeros(0, np.int64)
+        return [np.concatenate([none, *n])[np.concatenate([none, *s]) >= best[q, 0] - margin[q]] for q, (n, s) in enumerate(zip(nodes, scores))]
+
+
+def _directions(v: np.ndarray) -> np.ndarray:
+    length = np.sqrt((v**2).sum(1, keepdims=True))
+    return (v / np.where(length > 0, length, 1)).astype(np.float32)
+
+
+def _recall(graph: Graph, points: np.ndarray, queries: np.ndarray, k: int, beam: int) -> float:
+    """The share of the k greatest inner products that a beam finds."""
+    all_ = queries @ points.T
+    edge = np.partition(all_, -k, axis=1)[:, -k]
+    near, _, _ = graph.search(_directions(queries), beam)
+    found = np.where(near >= 0, np.take_along_axis(all_, np.maximum(near, 0), 1), -np.inf)
+    return float(np.minimum((found >= edge[:, None]).sum(1), k).mean() / k)
+
+
 def _save(folder: str, name: str, **arrays: np.ndarray) -> str:
     """One file of arrays, moved into place when whole."""
     import uuid
@@ -195,11 +274,11 @@ def valid(embeddings: DataFrame) -> DataFrame:
     return rows.where(good).dropDuplicates(["vec_id", "v"])
 
 
-def search(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int = 12288, degree: int = 40, width: int = 72, beam: int = 128, query_block: int = 1024) -> DataFrame:
+def search(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int = 12288, degree: int = 40, width: int = 72, beam: int = 128, query_block: int = 1024, ratio: float = 1.15) -> DataFrame:
     """The k nearest found of each vector whose id is divisible by ``every``."""
     spark = embeddings.sparkSession
     rows = stored(valid(embeddings), spark)
-    count, longest, dim = rows.agg(F.count(F.lit(1)), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")), F.mode(F.size("v"), deterministic=True)).first()
+    count, dim = rows.agg(F.count(F.lit(1)), F.mode(F.size("v"), deterministic=True)).first()
     empty = "query_id long, rank int, vec_id long, score double"
     if not count:
         return spark.createDataFrame([], empty)
@@ -207,7 +286,7 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int
     folder = work_dir(spark)
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root)
-    shards, bound = -(-count // shard_rows), float(longest)
+    shards = -(-count // shard_rows)
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     blocks = max(1, -(-asked.count() // query_block))
 
@@ -220,11 +299,11 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int
         v, ids = v[order], pdf["vec_id"].to_numpy()[order]
         new = np.concatenate([[True], (v[1:] != v[:-1]).any(1)])
         first = np.flatnonzero(new)
-        points = v[first]
-        lift = np.sqrt(np.maximum(bound - (points**2).sum(1), 0))[:, None]
-        graph = Graph(np.hstack([points, lift]), degree, width)
+        fall = np.argsort(-(v[first] ** 2).sum(1), kind="stable")
+        past = np.append(first[1:], len(v))
+        bands = Bands(v[first[fall]], k + 1, ratio, degree, width, beam)
         shard = int(pdf["shard"].iloc[0])
-        path = _save(folder, f"shard-{shard}", v=points, first=np.append(first, len(v)), ids=ids, edges=graph.edges, start=np.array(graph.start), lift=lift)
+        path = _save(folder, f"shard-{shard}", first=first[fall], past=past[fall], ids=ids, **bands.arrays())
         return pd.DataFrame({"kind": ["shard"], "name": [shard], "path": [path], "items": [len(v)]})
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,24 +322,21 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int
     cells = shards * blocks
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, graph, data = None, None, {}
+        held, bands, data = None, None, {}
         for batch in batches:
             for shard, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if shard != held:
                     held, data = shard, _load(folder, shard)
-                    graph = Graph(np.hstack([data["v"], data["lift"]]), degree, edges=data["edges"], start=int(data["start"]))
+                    bands = Bands.opened(data)
                 q = _load(folder, block)
                 for a in range(0, len(q["ids"]), 256):
                     v, ids = q["v"][a : a + 256], q["ids"][a : a + 256]
-                    flat = np.hstack([v, np.zeros((len(v), 1))]).astype(np.float32)
-                    near, _, _ = graph.search(flat, beam)
                     out: tuple[list, list, list] = ([], [], [])
-                    for x, i, found in zip(v, ids, near):
-                        found = found[found >= 0]
-                        score = (data["v"][found] * x).sum(1)
+                    for x, i, found in zip(v, ids, bands.search(v, k + 1)):  # one may be the query itself
+                        score = (bands.points[found] * x).sum(1)
                         have = 0
                         for f in np.lexsort((data["ids"][data["first"][found]], -score)):
-                            lo, hi = data["first"][found[f]], data["first"][found[f] + 1]
+                            lo, hi = data["first"][found[f]], data["past"][found[f]]
                             some = data["ids"][lo : min(hi, lo + k + 1)]
                             some = some[some != i][:k]
                             if have >= k and score[f] < edge:  # noqa: F821

@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -519,6 +519,25 @@ def test_urls(spark, sf_dir):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_trees_on_held_out_labels(spark):
+    """Labels that no rule gives: trees fitted to one part of a labelled table judge the other."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), n))
+
+    def url():
+        if bad := rng.random() < 0.4:
+            return f"http://{word(4)}{rng.integers(100, 9999)}.{rng.choice(['top', 'info', 'com'])}/{word(9)}?{'&'.join(f'{word(2)}={rng.integers(10**6)}' for _ in range(int(rng.integers(2, 6))))}", bad
+        return f"https://{rng.choice(['www', 'en', 'news'])}.{word(8)}.{rng.choice(['edu', 'info', 'com'])}/{word(5)}/{word(7)}.html", bad
+
+    rows = [(k, *url()) for k in range(1600)]
+    labelled = spark.createDataFrame([(u, int(b), "x") for k, u, b in rows if k % 4], "url string, blocked int, host string").unionByName(spark.createDataFrame([(None, 1, "x"), ("http://a.b/", None, "x")], "url string, blocked int, host string"))
+    pages = spark.createDataFrame([(k, u, "h", "v") for k, u, _ in rows if k % 4 == 0] + [(None, rows[0][1], "h", "v"), (0, rows[0][1], "h", "v")], "page_id long, url string, host string, verdict string")
+    got = url_filter.judge(pages, rules=(), labelled=labelled).collect()
+    assert len(got) == 402 and {r.verdict for r in got if r.page_id in (None, 0)} == {"block" if rows[0][2] else "allow"}
+    assert all(r.rule is None for r in got)
+    assert np.mean([(r.verdict == "block") == rows[r.page_id][2] for r in got if r.page_id is not None]) > 0.93
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(2000, 5))
@@ -541,6 +560,43 @@ def test_shards(docs):
     assert order == sorted(order)
 
 
+def test_string_cuts(spark):
+    """Cuts are the values at the quantiles, of whole strings however alike they begin."""
+    rng = np.random.default_rng(3)
+    names = [f"https://crawl.example.org/segment-{k:04d}" for k in range(300)] + ["", "é", "Z"]
+    values = [names[int(k)] for k in rng.integers(0, len(names), 4000)] + [names[7]] * 2000
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "value string").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = sorted(values, key=str.encode)
+    held = Counter(ordered[-(-k * len(ordered) // 16) - 1] for k in range(1, 17))
+    want, below = [], 0
+    for v in sorted(held, key=str.encode):
+        want.append((v, below, held[v]))
+        below += held[v]
+    assert hilbert.string_cuts(df, 16) == want
+    cells = {r.v: r.cell for r in spark.createDataFrame([(v,) for v in [*names, None]], "v string").select("v", hilbert.string_cell(F.col("v"), want, 16).alias("cell")).collect()}
+    assert cells.pop(None) == 0
+    inner = {v: (below, own) for v, below, own in want}
+    for v, cell in cells.items():
+        below, own = inner.get(v, (sum(n for c, n in held.items() if c.encode() < v.encode()), 0))
+        assert cell == min(below + own // 2, 15)
+    assert hilbert.string_cuts(df.limit(0), 16) == [] and hilbert.string_cuts(df.where("value is null"), 16) == []
+
+
+def test_shards_prune(spark):
+    """By the least and greatest values of its rows, a filter on one or two dimensions opens few of the shards."""
+    rng = np.random.default_rng(4)
+    rows = [(k, "x" * int(rng.integers(1, 4000)), f"lang-of-the-world-{rng.integers(4)}", f"https://source.example/{rng.integers(8)}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    at = {r.doc_id: r.shard for r in hilbert.shard(docs).collect()}
+    held = defaultdict(list)
+    for k, text, lang, source in rows:
+        held[at[k]].append((lang, source, len(text)))
+    ranges = [[(min(x), max(x)) for x in zip(*v)] for v in held.values()]
+    opened = lambda d, lo, hi: [r[d][0] <= hi and lo <= r[d][1] for r in ranges]
+    both = [sum(a and b for a, b in zip(opened(0, lang, lang), opened(1, source, source))) for lang in {r[2] for r in rows} for source in {r[3] for r in rows}]
+    assert np.mean(both) <= 4 and np.mean([sum(opened(2, n, n + 100)) for n in range(0, 4000, 200)]) <= 6
+
+
 def test_hilbert_curve_visits_neighbours():
     side, bits = 8, 3
     cells = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])
@@ -574,6 +630,37 @@ def test_nearest_neighbours(spark, sf_dir):
         assert all(abs(s - float(exact[i] @ exact[j])) < 1e-12 for i, x in got.items() for j, s in x)
 
 
+@pytest.mark.parametrize("kind", ["unit", "normal", "log-normal", "clustered"])
+def test_recall_on_lengths_of_all_sorts(kind):
+    """Bands with graphs of their own against brute force; the band of most vectors is walked, not compared as a whole."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 32))
+    if kind == "clustered":
+        x = rng.normal(size=(30, 32))[rng.integers(0, 30, len(x))] + 0.3 * x
+    if kind in ("unit", "log-normal"):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "log-normal":
+        x *= np.exp(rng.normal(size=(len(x), 1)))
+    x = x[np.argsort(-(x**2).sum(1))]
+    bands = ann.Bands(x, 21, 1.15, 40, 72, 64)
+    assert kind == "log-normal" or any(bands.graphs)
+    for held in (bands, ann.Bands.opened(bands.arrays())):
+        scores = x[::30] @ x.T
+        edge = np.partition(scores, -21, axis=1)[:, -21]
+        assert np.mean([(s[f] >= e).sum() / 21 for s, f, e in zip(scores, held.search(x[::30], 21), edge)]) >= 0.9
+
+
+def test_nearest_neighbours_of_unequal_lengths(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 16)) * np.exp(rng.normal(size=(1500, 1)))
+    emb = spark.createDataFrame([(k, v.tolist(), -1, 0.5) for k, v in enumerate(x)], "vec_id long, embedding array<double>, rank int, score double")
+    want = nearest(list(enumerate(x)), 20, 20)
+    got = defaultdict(set)
+    for r in ann.search(emb, shard_rows=600, beam=64).collect():
+        got[r.query_id].add(r.vec_id)
+    assert np.mean([len(got[i] & {j for j, _ in want[i]}) / 20 for i in want]) >= 0.9
+
+
 def test_nearest_neighbours_of_odd_rows(spark):
     rng = np.random.default_rng(0)
     rows = [(k, [float(x) for x in rng.normal(size=4)]) for k in range(1, 30)]
