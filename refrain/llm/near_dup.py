@@ -422,7 +422,9 @@ def _grouped(docs: DataFrame, percent: int, small: int, block: int) -> tuple[Dat
     joined = connected_components(links)
     named = reps.select("digest", "node").join(joined, "node", "left").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component"))
     out = rows.join(named, rows.digest == named.d, "left").select("doc_id", "n_shingles", "text_id", "component")
-    return held.table("grouped", out), held
+    grouped = held.table("grouped", out)
+    held.drop("rows", "reps", "links")
+    return grouped, held
 
 
 def components(docs: DataFrame, percent: int = 70, small: int = 12, block: int = 2048) -> DataFrame:
@@ -431,6 +433,7 @@ def components(docs: DataFrame, percent: int = 70, small: int = 12, block: int =
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = held.table("out", out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    held.drop("grouped")
     return out
 
 
