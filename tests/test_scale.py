@@ -69,3 +69,9 @@ def test_merged_posts_over_many_batches(spark, apart):
     assert {(r.uid2, s.uid): [tuple(m) for m in s.post] for r in got for s in r.sources} == want
     assert len(got) == (len(want) if apart else len({k[0] for k in want}))
     assert all(r.prior == {s.uid: 1.0 for s in r.sources} for r in got)
+
+
+@pytest.mark.parametrize("name", ["link_spans", "passage_edges", "vertices"])
+def test_extents_are_made_once(spark, sf_dir, name):
+    """Both sides of the passages come from one table, so texts are not read and paired again for each."""
+    assert "MapInArrow" not in plan(catalogue.QUERIES[name](spark, sf_dir))
