@@ -71,6 +71,22 @@ def test_merged_posts_over_many_batches(spark, apart):
     assert all(r.prior == {s.uid: 1.0 for s in r.sources} for r in got)
 
 
+def test_matches_stay_out_of_the_chained_rows(twins):
+    rows = job(twins).chained()
+    assert rows.columns == ["uid2", "src"]
+    assert sorted(len(r.src) for r in rows.collect()) and "ArrowEvalPython" not in plan(rows)
+
+
+def test_matches_are_merged_without_python_rows():
+    import pyarrow as pa
+
+    one = [{"uid": 7, "post": [{"post2": 5, "df": 2, "post": 9}, {"post2": 1, "df": 3, "post": 4}]}, {"uid": 3, "post": [{"post2": 5, "df": 2, "post": 8}]}]
+    kind = pa.list_(pa.struct([("uid", pa.int64()), ("post", pa.list_(pa.struct([(c, pa.int32()) for c in ("post2", "df", "post")])))]))
+    rows = pa.array([[], one, one[:1]], kind)
+    assert chain.merge_matches(rows[1].values) == [(1, 3, [(7, 4)]), (5, 2, [(3, 8), (7, 9)])]
+    assert chain.merge_matches(rows[2].values) == [(1, 3, [(7, 4)]), (5, 2, [(7, 9)])]
+
+
 @pytest.mark.parametrize("name", ["link_spans", "passage_edges", "vertices"])
 def test_extents_are_made_once(spark, sf_dir, name):
     """Both sides of the passages come from one table, so texts are not read and paired again for each."""
