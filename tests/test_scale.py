@@ -91,3 +91,22 @@ def test_matches_are_merged_without_python_rows():
 def test_extents_are_made_once(spark, sf_dir, name):
     """Both sides of the passages come from one table, so texts are not read and paired again for each."""
     assert "MapInArrow" not in plan(catalogue.QUERIES[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("left", [False, True])
+def test_a_copied_edge_is_not_searched(monkeypatch, left):
+    rng, beam = np.random.default_rng(5), align._edge_beam
+    c = align.Costs(0.8)
+    cases = []
+    for _ in range(200):
+        s2 = "".join(rng.choice(list("ab \n-C"), int(rng.integers(1, 40))))
+        extra = "".join(rng.choice(list("ab \n"), int(rng.integers(0, 25))))
+        cases.append((extra + s2, s2) if left else (s2 + extra, s2))
+    for s1, s2 in cases:
+        for lines_, floating in ((False, False), (True, False), (False, True)):
+            one, two = (s1[::-1], s2[::-1]) if left else (s1, s2)
+            assert beam(one, two, c, 20, lines_, floating) == (len(s2), len(s2))
+    monkeypatch.setattr(align, "_edge_beam", None)
+    for s1, s2 in cases:
+        a1, a2 = align.align_edge(s1, s2, left)
+        assert a1 == a2 and a1 == (s2.lstrip() if left else s2)
