@@ -4,9 +4,14 @@ import random
 import re
 import time
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
+from refrain.config import ReuseConfig
 from refrain.functions import text, types
+from refrain.operators import index
+from refrain.plans import catalogue
 
 
 def cut_plainly(begin, begin2, s1, s2):
@@ -65,3 +70,30 @@ def test_a_row_is_python_objects_while_it_is_computed(spark):
     run = types.by_row(lambda x: seen.append(len(made)) or x, "int").func
     assert run(Column(range(1000))).to_pylist() == list(range(1000))
     assert seen == list(range(1, 1001))
+
+
+@pytest.mark.parametrize("floating", [False, True])
+@pytest.mark.parametrize("collide", [False, True])
+def test_grams_of_many_texts_are_those_of_each(monkeypatch, floating, collide):
+    """Also where hashes collide, and with letters whose lower case is longer or hangs on its neighbours."""
+    if collide:
+        monkeypatch.setattr(index, "_powers", lambda size: (np.zeros(size + 1, np.uint64),) * 2)
+    rng = random.Random(2)
+    for turn in range(300):
+        texts = ["".join(rng.choice("abAé ßİΣσ😀ǅ中\U00010400\n-"[0 if turn % 2 else 8 :] + "ab ") for _ in range(rng.randint(0, 25))) for _ in range(rng.randint(0, 5))]
+        n = rng.randint(1, 4)
+        which, feats, posts = index.grams_of(texts, n, floating)
+        got = sorted(zip(which.tolist(), feats.to_pylist(), posts.tolist()))
+        assert got == sorted((k, g, p) for k, t in enumerate(texts) for g, p in index.grams(t, n, floating))
+
+
+def test_partitions_grow_with_the_input(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(index, "PART", 1 << 13)
+    least = 30  # documents are 290 kB
+    assert catalogue.dfpost(spark, sf_dir).rdd.getNumPartitions() >= least
+    freq = catalogue.doc_freq(spark, sf_dir)
+    assert freq.rdd.getNumPartitions() >= least
+    shuffled = freq._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[-1]
+    assert "HashAggregate" not in shuffled  # nothing is counted before the shuffle
+    made = spark.createDataFrame([(1, "ab cd ef gh", "x")], "uid long, text string, source string")
+    assert index.parts(index.postings(made, ReuseConfig(n=2))) == 4 * spark.sparkContext.defaultParallelism  # rows of no known size
