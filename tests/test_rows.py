@@ -7,10 +7,11 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from refrain.config import ReuseConfig
 from refrain.functions import text, types
-from refrain.operators import index
+from refrain.operators import index, locations
 from refrain.plans import catalogue
 
 
@@ -41,6 +42,60 @@ def test_lines_are_cut_as_by_hand():
         assert got == [None if None in r else cut_plainly(*r) for r in rows[skip:]]
 
 
+def test_texts_are_split_as_by_hand():
+    rng = random.Random(3)
+    for turn in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice("ab\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u2028\u2029\u2027é😀") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 6))]
+        skip = turn % 2 if len(texts) > 2 else 0
+        want = []
+        for t in texts[skip:]:
+            cut = (t or "").splitlines(keepends=True)
+            want.append(None if t is None else [{"begin": len("".join(cut[:k])), "text": x} for k, x in enumerate(cut)])
+        assert text._lines(pa.array(texts, pa.string()).slice(skip)).to_pylist() == want
+
+
+def test_lines_are_cut_in_parts(monkeypatch):
+    monkeypatch.setattr(text, "_PART", 8)
+    texts = ["a\nb", None, "long é line\nand\nmore", "", "x\n" * 9]
+    seen = []
+    kernel = lambda part: seen.append(len(part)) or text._lines(part)
+    assert text._in_parts(kernel, pa.array(texts, pa.string())).to_pylist() == text._lines(pa.array(texts, pa.string())).to_pylist()
+    assert len(seen) > 2 and sum(seen) == len(texts)
+
+
+def test_locations_are_those_of_each_passage(spark):
+    """Also where locations are out of order, missing or none."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(200):
+        spans = [(b, b + rng.randint(0, 9)) for b in (rng.randint(0, 40) for _ in range(rng.randint(0, 5)))]
+        items = sorted((rng.randint(0, 40), rng.randint(0, 9)) for _ in range(rng.randint(0, 6)))
+        if k % 3 == 0:
+            rng.shuffle(items)
+        rows.append((k, spans, None if k % 20 == 7 else [(f"p{j}", s, n) for j, (s, n) in enumerate(items)]))
+    df = spark.createDataFrame(rows, "k int, spans array<struct<b:int,e:int>>, locs array<struct<loc:string,start:bigint,length:bigint>>")
+    many = lambda f: f(F.col("spans"), F.transform("spans", lambda x: x["b"]), F.transform("spans", lambda x: x["e"]), F.col("locs"))
+    got = df.select("k", "locs", F.inline(F.arrays_zip(many(locations.overlapping_locs).alias("o"), many(locations.sliced_locs).alias("s"))))
+    got = got.toDF("k", "locs", "o", "s").select("k", "o", "s", F.transform(locations.overlapping(F.col("locs"), F.col("o.passage.b"), F.col("o.passage.e")), lambda x: x["loc"]).alias("o1"), locations.slice_locs(F.col("o.passage.b"), F.col("o.passage.e"), F.col("locs")).alias("s1")).collect()
+    assert len(got) == sum(len(r[1]) for r in rows)
+    for r in got:
+        assert (r.o.locs or None) == (r.o1 or None) and (r.s.locs or None) == (r.s1 or None)
+
+
+def test_many_locations_are_searched():
+    """What a passage costs does not grow with the locations of its text."""
+    took = []
+    for n in (2_000, 40_000):
+        x = pa.array([list(range(0, 10 * n, 10))], pa.list_(pa.int64()))
+        y = pa.array([list(range(10, 10 * n + 10, 10))], pa.list_(pa.int64()))
+        for f in (locations._overlapped, locations._sliced):
+            began = time.perf_counter()
+            got = f(x, y, x, y)
+            took.append((time.perf_counter() - began) / n)
+            assert len(got.values) == n
+    assert max(took[2:]) < 20 * max(took[:2]) and max(took[2:]) < 1e-4
+
+
 def test_many_lines_are_cut_in_one_pass():
     """What each line costs does not grow with its text."""
     took = []
@@ -97,3 +152,18 @@ def test_partitions_grow_with_the_input(spark, sf_dir, monkeypatch):
     assert "HashAggregate" not in shuffled  # nothing is counted before the shuffle
     made = spark.createDataFrame([(1, "ab cd ef gh", "x")], "uid long, text string, source string")
     assert index.parts(index.postings(made, ReuseConfig(n=2))) == 4 * spark.sparkContext.defaultParallelism  # rows of no known size
+
+
+def test_boxes_of_regions(spark, sf_dir):
+    """Boxes as by hand, in as many tasks as there is work for, however few the bytes."""
+    rng = random.Random(5)
+    rows = [(k, [(rng.randint(0, 99), rng.randint(0, 9), tuple(rng.randint(0, 9) for _ in range(5))) for _ in range(rng.randint(0, 5))]) for k in range(50)]
+    df = spark.createDataFrame(rows, "k int, r array<struct<start:bigint,length:bigint,coords:struct<x:bigint,y:bigint,w:bigint,h:bigint,b:bigint>>>")
+    for r in df.select("r", locations.bounding_box(F.col("r")).alias("x")).collect():
+        if not r.r:
+            assert r.x is None
+            continue
+        low, x, y = min(q.start for q in r.r), min(q.coords.x for q in r.r), min(q.coords.y for q in r.r)
+        want = (low, max(q.start + q.length for q in r.r) - low, (x, y, max(q.coords.x + q.coords.w for q in r.r) - x, max(q.coords.y + q.coords.h for q in r.r) - y))
+        assert tuple(r.x) == want
+    assert catalogue.region_contained_boxes(spark, sf_dir).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
