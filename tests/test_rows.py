@@ -167,3 +167,11 @@ def test_boxes_of_regions(spark, sf_dir):
         want = (low, max(q.start + q.length for q in r.r) - low, (x, y, max(q.coords.x + q.coords.w for q in r.r) - x, max(q.coords.y + q.coords.h for q in r.r) - y))
         assert tuple(r.x) == want
     assert catalogue.region_contained_boxes(spark, sf_dir).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_freed_memory_goes_back_after_a_batch(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(types, "give_back", lambda: calls.append(1))
+    run = types.by_row(lambda x: x, "int").func
+    assert run(pa.array([1, 2, None])).to_pylist() == [1, 2, None] and run(pa.array([], pa.int32())).to_pylist() == []
+    assert len(calls) == 2
