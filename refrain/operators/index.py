@@ -94,24 +94,37 @@ def grams_of(texts: list[str], n: int, floating: bool = False) -> tuple[np.ndarr
 def hashes_of(texts: list[str], n: int, floating: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What ``grams_of`` gives, with two hashes (64 and 32 bits) in place of each gram: number of the text, hashes, offset.
 
-    Both are sums of code points times fixed random numbers (modulo 2**64; the second is the upper half of its sum).
+    Grams that occur more than once in a text are there, too, as whoever sorts the hashes can leave them out. Both hashes
+    are sums (modulo 2**64; the second is the upper half of its sum) of mixed triples of letters times fixed random numbers.
     """
     plain, one_by_one = _apart(texts, n, floating)
-    low, start, at, begins, doc = _windows(plain, n, floating)
+    low, start, doc, offset = _windows(plain, n, floating)
+    one, two = _hashed(low, start, n)
+    for size in sorted({len(g) for _, g, _ in one_by_one}):
+        ks, gs, ps = zip(*(x for x in one_by_one if len(x[1]) == size))
+        more = _hashed(np.frombuffer("".join(gs).encode("utf-32-le"), np.uint32), np.arange(len(gs)) * size, size)
+        one, two = np.append(one, more[0]), np.append(two, more[1])
+        doc, offset = np.append(doc, np.array(ks)), np.append(offset, np.array(ps, np.int32))
+    return doc, one, (two >> np.uint64(32)).astype(np.uint32), offset
+
+
+def _hashed(points: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the ``n`` code points from each start on."""
+    width = min(n, 3)
+    z = points.astype(np.uint64) + np.uint64(1)
+    for j in range(1, width):
+        z[:-j] |= (points[j:] + np.uint64(1)) << np.uint64(21 * j)
+    # Every step is one to one, so that triples stay apart.
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(32)
+    z *= np.uint64(0x94D049BB133111EB)
     one, two = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
-    points = low + np.uint64(1)
-    for j, (a, b) in enumerate(_multipliers(n)):
-        x = points[start + j]
+    places = [*range(0, n - width + 1, width), *([n - width] if n % width else [])]
+    for j, (a, b) in zip(places, _multipliers(len(places))):
+        x = z[start + j]
         one += a * x
         two += b * x
-    which, posts = doc[start], (at[start] - begins[doc[start]]).astype(np.int32)
-    if one_by_one:
-        ks, gs, ps = zip(*one_by_one)
-        by = _multipliers(max(map(len, gs)))
-        sums = np.array([((np.frombuffer(g.encode("utf-32-le"), np.uint32) + np.uint64(1))[:, None] * by[: len(g)]).sum(0, np.uint64) for g in gs])
-        one, two = np.append(one, sums[:, 0]), np.append(two, sums[:, 1])
-        which, posts = np.append(which, np.array(ks)), np.append(posts, np.array(ps, np.int32))
-    return which, one, (two >> np.uint64(32)).astype(np.uint32), posts
+    return one, two
 
 
 @cache
@@ -129,52 +142,53 @@ def _apart(texts: list[str], n: int, floating: bool) -> tuple[list[str], list[tu
     return [("" if k in odd else t) for k, t in enumerate(texts)], [(k, g, p) for k in sorted(odd) for g, p in grams(texts[k], n, floating)]
 
 
-def _windows(texts: list[str], n: int, floating: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of all texts in lower case, where grams that occur once start among them; of letters the offset, of texts the begin, of letters the text."""
+def _windows(texts: list[str], n: int, floating: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all texts in lower case, where grams start among them; of each gram the text and the offset in it."""
     letter, lower = _characters()
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    is_letter = letter[points]
-    at = np.flatnonzero(is_letter)
-    doc = np.repeat(np.arange(len(texts)), sizes)[at]
+    ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
+    at = np.flatnonzero(letter[points])
     low = lower[points[at]]
-    place = np.arange(len(at))
-    fits = place + n <= np.cumsum(np.bincount(doc, minlength=len(texts)))[doc]
-    if not floating:
-        fits &= (at == begins[doc]) | ~is_letter[at - 1]
-    start = np.flatnonzero(fits)
+    past = np.searchsorted(at, ends)
+    if floating:
+        start = np.arange(len(at))
+    else:
+        first = np.append(True, at[1:] - at[:-1] != 1)[: len(at)]
+        first[np.append(0, past[:-1])[np.diff(past, prepend=0) > 0]] = True
+        start = np.flatnonzero(first)
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, past), prepend=0))
+    fits = start + n <= past[doc]
+    start, doc = start[fits], doc[fits]
+    return low, start, doc, (at[start] - np.append(0, ends)[doc]).astype(np.int32)
+
+
+def _together(texts: list[str], n: int, floating: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    low, start, doc, offset = _windows(texts, n, floating)
     up, down = _powers(max(TOGETHER, 1 << int(len(low)).bit_length()))
     summed = np.append(np.uint64(0), np.cumsum((low + np.uint64(1)) * down[: len(low)], dtype=np.uint64))
-    key = (summed[start + n] - summed[start]) * up[start] * np.uint64(0xD6E8FEB86659FD93) + doc[start].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    key = (summed[start + n] - summed[start]) * up[start] * np.uint64(0xD6E8FEB86659FD93) + doc.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     if same.any():
         # Members of a group of equal keys are all one gram, unless keys collide.
-        a, b = start[order[:-1][same]], start[order[1:][same]]
+        a, b = order[:-1][same], order[1:][same]
         equal = doc[a] == doc[b]
         for j in range(n):
-            equal &= low[a + j] == low[b + j]
+            equal &= low[start[a] + j] == low[start[b] + j]
         if equal.all():
             often = np.zeros(len(start), bool)
-            often[order[1:][same]] = often[order[:-1][same]] = True
+            often[a] = often[b] = True
         else:
-            windows = [(doc[s], low[s : s + n].tobytes()) for s in start]
+            windows = [(d, low[s : s + n].tobytes()) for d, s in zip(doc, start)]
             counts = Counter(windows)
             often = np.array([counts[w] > 1 for w in windows])
-        start = start[~often]
-    return low, start, at, begins, doc
-
-
-def _together(texts: list[str], n: int, floating: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    low, start, at, begins, doc = _windows(texts, n, floating)
+        start, doc, offset = start[~often], doc[~often], offset[~often]
     width = 1 + (low >= 0x80).astype(np.int64) + (low >= 0x800) + (low >= 0x10000)
     byte = np.append(0, np.cumsum(width))
     data = np.frombuffer(low.tobytes().decode("utf-32-le").encode(), np.uint8)
     lengths = byte[start + n] - byte[start]
     short = lengths == n
-    start = np.concatenate([start[short], start[~short]])
-    lengths = np.concatenate([lengths[short], lengths[~short]])
+    start, lengths, doc, offset = (np.concatenate([x[short], x[~short]]) for x in (start, lengths, doc, offset))
     count = int(short.sum())
     parts = [np.lib.stride_tricks.sliding_window_view(data, n)[byte[start[:count]]].ravel()] if count else []
     if count < len(start):
@@ -183,7 +197,7 @@ def _together(texts: list[str], n: int, floating: bool) -> tuple[np.ndarray, pa.
         parts.append(data[np.repeat(byte[start[count:]] - (past - wide), wide) + np.arange(past[-1])])
     offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
     feats = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(np.concatenate(parts) if parts else b""))
-    return doc[start], feats, (at[start] - begins[doc[start]]).astype(np.int32)
+    return doc, feats, offset
 
 
 def postings(docs: DataFrame, cfg: ReuseConfig) -> DataFrame:

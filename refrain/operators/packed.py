@@ -64,20 +64,42 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _by_gram(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order that brings equal grams together, where each gram starts in it, and how many there are of each."""
-    order = np.argsort(one)
-    for _ in range(2):
-        same, same2 = (x[order[1:]] == x[order[:-1]] for x in (one, two))
-        if (same2 | ~same).all():
-            break
-        order = np.lexsort((two, one))  # first hashes collide
-    starts = np.flatnonzero(np.append(True, ~(same & same2))[: len(one)])
+    """An order that brings equal grams together (and keeps theirs), where each gram starts in it, and how many there are of each.
+
+    Upper bits of the first hash and the place are sorted as one number; where these bits don't tell grams apart, the rest does.
+    """
+    bits = np.uint64(len(one).bit_length())
+    place = (np.uint64(1) << bits) - np.uint64(1)
+    above = one - one.min()
+    key = np.sort(((above << np.uint64(min(63, 64 - int(above.max()).bit_length()))) & ~place) | np.arange(len(one), dtype=np.uint64))
+    order = (key & place).astype(np.int64)
+    heads = _starts(key >> bits)
+    next_ = lambda x: x[order[1:]] == x[order[:-1]]
+    same = next_(one) & next_(two)
+    inside = np.ones(len(one), bool)
+    inside[heads] = False
+    if (mixed := np.flatnonzero(inside[1:] & ~same)).size:
+        for k in np.unique(np.searchsorted(heads, mixed, "right") - 1):
+            some = order[heads[k] : heads[k + 1] if k + 1 < len(heads) else None]
+            some[:] = some[np.lexsort((two[some], one[some]))]
+        same = next_(one) & next_(two)
+    starts = np.flatnonzero(np.append(True, ~same))
     return order, starts, np.diff(np.append(starts, len(one)))
 
 
-def _trimmed(columns: list[np.ndarray], most: int) -> list[np.ndarray]:
-    """Postings by gram; of those that more than ``most`` documents hold one more than ``most`` stay, enough to tell it."""
+def _trimmed(columns: list[np.ndarray], most: int, rows: np.ndarray | None = None) -> list[np.ndarray]:
+    """Postings by gram; of those that more than ``most`` documents hold one more than ``most`` stay, enough to tell it.
+
+    With the number of each posting's document (``rows``), grams that occur more than once in a document go first.
+    """
     order, starts, counts = _by_gram(columns[0], columns[1])
+    if rows is not None:
+        again = rows[order[1:]] == rows[order[:-1]]
+        again[starts[1:] - 1] = False
+        good = ~(np.append(again, False) | np.append(False, again))
+        counts = np.add.reduceat(good, starts, dtype=np.int64)
+        order, counts = order[good], counts[counts > 0]
+        starts = np.cumsum(counts) - counts
     if len(counts) and counts.max() > most + 1:
         order = order[np.arange(len(order)) - np.repeat(starts, counts) <= most]
     return [c[order] for c in columns]
@@ -92,13 +114,14 @@ def lists(docs: DataFrame, cfg: ReuseConfig) -> DataFrame:
     n, floating, least, most, parts = cfg.n, cfg.floating_ngrams, cfg.min_df, cfg.max_df, index.parts(docs)
 
     def send(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        columns = _trimmed(_joined(held), most)
+        *columns, rows = _joined(held)
+        columns = _trimmed(columns, most, rows)
         part = _part(columns[0], parts)
         starts = _starts(part)
         return _packed(part[starts], {c: (x, np.append(starts, len(part))) for c, x in zip(_POSTINGS, columns)})
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, row = [], 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -109,7 +132,8 @@ def lists(docs: DataFrame, cfg: ReuseConfig) -> DataFrame:
             for first, last in zip(s := _starts(group), np.append(s[1:], len(group))):
                 rows = first + np.flatnonzero(good[first:last])
                 which, one, two, posts = index.hashes_of(texts.take(pa.array(rows)).to_pylist(), n, floating)
-                held.append([one, two, uids.take(pa.array(rows)).to_numpy(zero_copy_only=False)[which], posts])
+                held.append([one, two, uids.take(pa.array(rows)).to_numpy(zero_copy_only=False)[which], posts, row + which])
+                row += len(rows)
                 size += len(one)
                 if size >= HELD:
                     yield send(held)
@@ -135,7 +159,7 @@ def lists(docs: DataFrame, cfg: ReuseConfig) -> DataFrame:
             good = (counts >= least) & (counts <= most)
             order, sizes = order[np.repeat(good, counts)], counts[good]
             uid, post = uid[order], post[order]
-            order = np.lexsort((post, uid, np.repeat(np.arange(len(sizes)), sizes)))
+            order = np.lexsort((uid, np.repeat(np.arange(len(sizes)), sizes)))
             uid, post = uid[order], post[order]
             starts = np.cumsum(sizes) - sizes
             part = _part(uid[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts)
