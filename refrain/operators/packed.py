@@ -1,7 +1,8 @@
 """Documents that share grams, counted over packed columns.
 
 Postings go through two shuffles, by gram and by the least document of a gram, as arrays: a row is all that one task
-sends to one partition. So the cost for a posting or a match is that of NumPy, and Spark sees rows again as counts.
+sends to one partition. So the cost for a posting or a match is that of NumPy, and Spark sees rows again as counts. The
+bytes of numbers lie apart, all first ones, then all second ones: upper ones are alike, so what Spark compresses is small.
 """
 
 from __future__ import annotations
@@ -27,24 +28,37 @@ _POSTINGS = {"one": np.uint64, "two": np.uint32, "uid": np.int64, "post": np.int
 _LISTS = {"sizes": np.int32, "uid": np.int64, "post": np.int32}
 
 
+def _planes(kinds: dict[str, type]) -> list[str]:
+    return [f"{c}{k}" for c, kind in kinds.items() for k in range(np.dtype(kind).itemsize)]
+
+
 def _schema(kinds: dict[str, type]) -> str:
-    return ", ".join(["part int", *(f"{c} binary" for c in kinds)])
+    return ", ".join(["part int", *(f"{c} binary" for c in _planes(kinds))])
 
 
 def _packed(parts: np.ndarray, columns: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """A row per part; of each column the values and where those of each part begin (and the last ends)."""
-    arrays = [pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]) for values, cuts in columns.values()]
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *arrays], names=["part", *columns])
+    arrays = []
+    for values, cuts in columns.values():
+        offsets, size = pa.py_buffer(cuts.astype(np.int32)), values.itemsize
+        planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T)
+        arrays += [pa.Array.from_buffers(pa.binary(), len(parts), [None, offsets, pa.py_buffer(planes[k])]) for k in range(size)]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *arrays], names=["part", *_planes({c: v.dtype for c, (v, _) in columns.items()})])
 
 
 def _unpacked(batch: pa.RecordBatch, kinds: dict[str, type]) -> list[np.ndarray]:
-    """The values of all rows, a copy for each column."""
-    out = []
-    for name, kind in kinds.items():
+    """The values of all rows of each column."""
+
+    def plane(name: str) -> np.ndarray:
         column = batch.column(batch.schema.get_field_index(name))
         _, offsets, data = column.buffers()
         at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
-        out.append(np.frombuffer(data.slice(int(at[0]), int(at[-1] - at[0])), kind).copy() if data is not None else np.empty(0, kind))
+        return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+
+    out = []
+    for name, kind in kinds.items():
+        planes = [plane(x) for x in _planes({name: kind})]
+        out.append(np.ascontiguousarray(np.stack(planes, axis=1)).view(kind).ravel())
     return out
 
 
@@ -109,16 +123,21 @@ def _joined(held: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*held)]
 
 
-def lists(docs: DataFrame, cfg: ReuseConfig) -> DataFrame:
-    """The index of documents (uid, text) as packed lists: of each gram within the band the documents, by number, and offsets."""
+def _without_offsets(kinds: dict[str, type]) -> dict[str, type]:
+    return {c: kind for c, kind in kinds.items() if c != "post"}
+
+
+def lists(docs: DataFrame, cfg: ReuseConfig, offsets: bool) -> DataFrame:
+    """The index of documents (uid, text) as packed lists: of each gram within the band the documents, by number, and ``offsets``."""
+    postings, listed = (_POSTINGS, _LISTS) if offsets else map(_without_offsets, (_POSTINGS, _LISTS))
     n, floating, least, most, parts = cfg.n, cfg.floating_ngrams, cfg.min_df, cfg.max_df, index.parts(docs)
 
     def send(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        *columns, rows = _joined(held)
+        rows, *columns = _joined(held)
         columns = _trimmed(columns, most, rows)
         part = _part(columns[0], parts)
         starts = _starts(part)
-        return _packed(part[starts], {c: (x, np.append(starts, len(part))) for c, x in zip(_POSTINGS, columns)})
+        return _packed(part[starts], {c: (x, np.append(starts, len(part))) for c, x in zip(postings, columns)})
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, row = [], 0, 0
@@ -132,7 +151,8 @@ def lists(docs: DataFrame, cfg: ReuseConfig) -> DataFrame:
             for first, last in zip(s := _starts(group), np.append(s[1:], len(group))):
                 rows = first + np.flatnonzero(good[first:last])
                 which, one, two, posts = index.hashes_of(texts.take(pa.array(rows)).to_pylist(), n, floating)
-                held.append([one, two, uids.take(pa.array(rows)).to_numpy(zero_copy_only=False)[which], posts, row + which])
+                uid = uids.take(pa.array(rows)).to_numpy(zero_copy_only=False)[which]
+                held.append([row + which, one, two, uid, *([posts] if offsets else [])])
                 row += len(rows)
                 size += len(one)
                 if size >= HELD:
@@ -145,24 +165,24 @@ def lists(docs: DataFrame, cfg: ReuseConfig) -> DataFrame:
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, limit = [], 0, 4 * HELD
         for batch in batches:
-            held.append(_unpacked(batch, _POSTINGS))
+            held.append(_unpacked(batch, postings))
             size += len(held[-1][0])
             if size > limit:
                 held = [_trimmed(_joined(held), most)]
                 size = len(held[0][0])
                 limit = max(4 * HELD, 2 * size)
         if size:
-            one, two, uid, post = _joined(held)
+            one, two, *columns = _joined(held)
             held.clear()
             order, _, counts = _by_gram(one, two)
             del one, two
             good = (counts >= least) & (counts <= most)
             order, sizes = order[np.repeat(good, counts)], counts[good]
-            uid, post = uid[order], post[order]
-            order = np.lexsort((uid, np.repeat(np.arange(len(sizes)), sizes)))
-            uid, post = uid[order], post[order]
+            columns = [c[order] for c in columns]
+            order = np.lexsort((columns[0], np.repeat(np.arange(len(sizes)), sizes)))
+            columns = [c[order] for c in columns]
             starts = np.cumsum(sizes) - sizes
-            part = _part(uid[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts)
+            part = _part(columns[0][starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts)
             by = np.argsort(part, kind="stable")
             # No more than HELD postings (or one list) at a time.
             for a, b in zip(s := _starts(np.cumsum(sizes[by]) // HELD), np.append(s[1:], len(by))):
@@ -170,11 +190,11 @@ def lists(docs: DataFrame, cfg: ReuseConfig) -> DataFrame:
                 firsts = _starts(part[some])
                 rows, ends = _ragged(starts[some], sizes[some]), np.append(0, np.cumsum(sizes[some]))
                 cuts = np.append(firsts, len(some))
-                yield _packed(part[some][firsts], {"sizes": (sizes[some].astype(np.int32), cuts), "uid": (uid[rows], ends[cuts]), "post": (post[rows], ends[cuts])})
+                yield _packed(part[some][firsts], {"sizes": (sizes[some].astype(np.int32), cuts)} | {c: (x[rows], ends[cuts]) for c, x in zip(("uid", "post"), columns)})
         give_back()
 
-    posted = docs.select("uid", "text").mapInArrow(post, _schema(_POSTINGS)).repartitionById(parts, F.col("part"))
-    return posted.mapInArrow(band, _schema(_LISTS)).repartitionById(parts, F.col("part"))
+    posted = docs.select("uid", "text").mapInArrow(post, _schema(postings)).repartitionById(parts, F.col("part"))
+    return posted.mapInArrow(band, _schema(listed)).repartitionById(parts, F.col("part"))
 
 
 def counted(docs: DataFrame, cfg: ReuseConfig, least: int, *, same: bool = False, offsets: bool = False, near: int | None = None) -> DataFrame:
@@ -185,12 +205,14 @@ def counted(docs: DataFrame, cfg: ReuseConfig, least: int, *, same: bool = False
     by the task of their grams' least document, and its counts are added up after a shuffle.
     """
     bounds = ("begin", "last", "begin2", "last2") if offsets else ()
+    placed = offsets or near is not None
+    kinds = _LISTS if placed else _without_offsets(_LISTS)
 
-    def pairs(sizes: np.ndarray, uid: np.ndarray, post: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(sizes: np.ndarray, uid: np.ndarray, post: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
         by = np.argsort(uid[starts], kind="stable")
         rows, sizes = _ragged(starts[by], sizes[by]), sizes[by]
-        post = post[rows]
+        post = post[rows] if placed else None
         ids, code = np.unique(uid[rows], return_inverse=True)
         after = np.repeat(np.cumsum(sizes, dtype=np.int64), sizes) - np.arange(len(rows)) - 1
         past = np.cumsum(after)
@@ -230,7 +252,7 @@ def counted(docs: DataFrame, cfg: ReuseConfig, least: int, *, same: bool = False
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(_unpacked(batch, _LISTS))
+            held.append(_unpacked(batch, kinds))
             size += len(held[-1][1])
             if size >= 4 * HELD:
                 yield from pairs(*_joined(held))
@@ -241,6 +263,6 @@ def counted(docs: DataFrame, cfg: ReuseConfig, least: int, *, same: bool = False
 
     if same and offsets:
         raise ValueError("a document's matches with itself have no offsets")
-    parts = lists(docs, cfg).mapInArrow(count, ", ".join(["uid long", "uid2 long", "matches long", *(f"{c} int" for c in bounds)]))
+    parts = lists(docs, cfg, placed).mapInArrow(count, ", ".join(["uid long", "uid2 long", "matches long", *(f"{c} int" for c in bounds)]))
     met = parts.repartition(index.parts(docs), "uid", "uid2").groupBy("uid", "uid2")
     return met.agg(F.sum("matches").alias("matches"), *[(F.min if c.startswith("begin") else F.max)(c).alias(c) for c in bounds]).where(F.col("matches") >= least)
